@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, toxicity
+from . import decontaminate, near_dedup, substring_dedup, toxicity
 from .common import table
 
 
@@ -20,9 +20,21 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, start_word, end_word, source_ids) of every passage that documents of lesser ids hold too."""
+    return substring_dedup.repeats(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, start_char, end_char, item_ids) of every span that holds benchmark phrases."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
     "op3_toxicity": op3_toxicity,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 #: None of the ten can be said in SQL: each is tested against brute force, round trips or held-out accuracy.
