@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dedup, substring_dedup, toxicity
+from . import decontaminate, html_extract, langid, near_dedup, substring_dedup, toxicity, url_filter
 from .common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, span_no, start_char, end_char, lang, n_words): the language spans of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.spans(docs, langid.fit(docs))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, kept_doc_id) of every document that is a near or exact copy of one that stays."""
     return near_dedup.duplicates(table(spark, sf_dir, "documents"))
@@ -25,15 +31,28 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, content, n_lines, n_content_lines, threshold) of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, score, p_reject, rejected) of every page's URL."""
+    return url_filter.score(table(spark, sf_dir, "pages"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, start_char, end_char, item_ids) of every span that holds benchmark phrases."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_near_dedup": op2_near_dedup,
     "op3_toxicity": op3_toxicity,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_html_extraction": op7_html_extraction,
+    "op8_url_filter": op8_url_filter,
     "op10_decontaminate": op10_decontaminate,
 }
 
