@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, langid, near_dedup, substring_dedup, toxicity, url_filter
+from . import decontaminate, html_extract, langid, near_dedup, quality_rules, substring_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -31,6 +31,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, statistics, rule_no, rule, keep) of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, content, n_lines, n_content_lines, threshold) of every page."""
     return html_extract.extract(table(spark, sf_dir, "pages"))
@@ -51,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
     "op3_toxicity": op3_toxicity,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_quality_rules": op6_quality_rules,
     "op7_html_extraction": op7_html_extraction,
     "op8_url_filter": op8_url_filter,
     "op10_decontaminate": op10_decontaminate,
