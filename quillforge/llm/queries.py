@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, langid, near_dedup, quality_rules, substring_dedup, toxicity, url_filter
+from . import decontaminate, html_extract, langid, near_dedup, quality_rules, sentencepieces, substring_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -26,6 +27,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, piece_ids, n_pieces, decoded) of every document."""
+    model = sentencepieces.read_model()
+    coded = sentencepieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return sentencepieces.decode(coded.drop("text"), model).select("doc_id", "piece_ids", F.coalesce(F.size("piece_ids"), F.lit(0)).alias("n_pieces"), "decoded")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, start_word, end_word, source_ids) of every passage that documents of lesser ids hold too."""
     return substring_dedup.repeats(table(spark, sf_dir, "documents")).drop("text_hash")
@@ -56,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_near_dedup": op2_near_dedup,
     "op3_toxicity": op3_toxicity,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_html_extraction": op7_html_extraction,
