@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, langid, near_dedup, quality_rules, sentencepieces, substring_dedup, toxicity, url_filter
+from . import decontaminate, html_extract, langid, near_dedup, quality_rules, sentencepieces, substring_dedup, token_counts, toxicity, url_filter
 from .common import table
 
 
@@ -55,6 +55,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.score(table(spark, sf_dir, "pages"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens) of every document."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.read_ranks())
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, start_char, end_char, item_ids) of every span that holds benchmark phrases."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_html_extraction": op7_html_extraction,
     "op8_url_filter": op8_url_filter,
+    "op9_token_counts": op9_token_counts,
     "op10_decontaminate": op10_decontaminate,
 }
 
