@@ -31,6 +31,7 @@ SMOOTH = 0.05
 SWITCH = 12.0
 SCRIPT_SHARE = 0.02
 FAR = -1e4
+WORDS_AT_ONCE = 1 << 20
 
 #: Script, first code point, one past the last.
 RANGES = [
@@ -139,23 +140,28 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS_PER_LANGUAGE) -> LanguageModel
     return LanguageModel(languages, logp, states, np.array(allowed))
 
 
-def emissions(model: LanguageModel, data: np.ndarray, offs: np.ndarray) -> tuple[tk.Tokens, np.ndarray]:
-    """The words and their scores (words x states), each script's best language at 0."""
+def emissions(model: LanguageModel, data: np.ndarray, offs: np.ndarray) -> tuple[tk.Tokens, np.ndarray, np.ndarray]:
+    """The words, their scores (words x used states), each script's best language at 0, and which states are used: those that some word can take, and the first."""
     start, end = tk.run_bounds(tk.IS_WORD[data], offs)
     tok = tk.Tokens(start, end, np.zeros(0, np.uint64), np.searchsorted(start, offs))
-    e = np.zeros((len(start), len(model.states)), np.float32)
+    s = scripts(data, start, end) if len(start) else np.zeros(0, np.int64)
+    known = s >= 0
+    used = np.zeros(len(model.states), bool)
     if not len(start):
-        return tok, e
-    s = scripts(data, start, end)
-    if model.languages:
+        return tok, np.zeros((0, 0), np.float32), used
+    used[0] = True
+    for one in np.unique(s[known]):
+        used |= model.allowed[one]
+    columns = np.flatnonzero(used)
+    e = np.zeros((len(start), len(columns)), np.float32)
+    trained = columns[columns < len(model.languages)]
+    if len(trained):
         slot, first = trigram_slots(tk.lower_bytes(data), start, end)
-        e[:, : len(model.languages)] = np.add.reduceat(model.logp[slot], first[:-1], axis=0)
-    known = s >= 0
+        e[:, : len(trained)] = np.add.reduceat(model.logp[:, trained][slot], first[:-1], axis=0)
     e[~known] = 0
-    bad = ~model.allowed[s[known]]
-    part = np.where(bad, FAR, e[known])
+    part = np.where(model.allowed[s[known]][:, columns], e[known], np.float32(FAR))
     e[known] = part - part.max(1, keepdims=True)
-    return tok, np.maximum(e, np.float32(FAR))
+    return tok, np.maximum(e, np.float32(FAR)), used
 
 
 def viterbi(e: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -191,26 +197,56 @@ def viterbi(e: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.ndar
 
 
 def label_spans(column, model: LanguageModel, switch: float = SWITCH) -> tuple[np.ndarray, ...]:
-    """(text, start char, end char, state, words) of the spans of each text of a batch."""
-    parts, emit, first, at = [], [], [np.zeros(1, np.int64)], 0
+    """(text, start char, end char, state, words) of the spans of each text of a batch; about ``WORDS_AT_ONCE`` words, of whole texts, are held at a time."""
+    done: list[tuple[np.ndarray, ...]] = []
+    parts: list[tuple[np.ndarray, ...]] = []
+    emit: list[np.ndarray] = []
+    used: list[np.ndarray] = []
+    held = 0
+
+    def flush() -> None:
+        nonlocal held
+        if not held:
+            return
+        doc, begin, stop = (np.concatenate(x) for x in zip(*parts, strict=True))
+        columns = np.flatnonzero(np.logical_or.reduce(used))  # no word can take the other states
+        e = np.concatenate([_columns(x, u, columns) for x, u in zip(emit, used, strict=True)])
+        first = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]])
+        label = columns[viterbi(e, first, switch)]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (label[1:] != label[:-1])
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(doc))
+        done.append((doc[head], begin[head], stop[tail - 1], label[head].astype(np.int64), tail - head))
+        parts.clear(), emit.clear(), used.clear()
+        held = 0
+
     for lo, hi, data, offs in tk.slices(column):
-        tok, e = emissions(model, data, offs)
+        tok, e, states = emissions(model, data, offs)
+        if not len(e):
+            continue
         chars = tk.char_index(data)
         doc = np.repeat(np.arange(hi - lo), np.diff(tok.first))
         zero = chars[offs[:-1]][doc]
         parts.append((doc + lo, chars[tok.start] - zero, chars[tok.end] - zero))
         emit.append(e)
-        first.append(tok.first[1:] + at)
-        at += len(e)
-    if not at:
-        return (np.zeros(0, np.int64),) * 5
-    doc, begin, stop = (np.concatenate(x) for x in zip(*parts, strict=True))
-    label = viterbi(np.concatenate(emit), np.concatenate(first), switch)
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (label[1:] != label[:-1])
-    head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(doc))
-    return doc[head], begin[head], stop[tail - 1], label[head].astype(np.int64), tail - head
+        used.append(states)
+        held += len(e)
+        if held >= WORDS_AT_ONCE:
+            flush()
+    flush()
+    return tuple(np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64),) * 5
+
+
+def _columns(e: np.ndarray, used: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """e, which has the used states only, over all of ``columns``; words of unknown script (all 0) may take any."""
+    own = np.flatnonzero(used)
+    if len(own) == len(columns):
+        return e
+    out = np.full((len(e), len(columns)), FAR, np.float32)
+    out[(e == 0).all(1)] = 0
+    out[:, np.searchsorted(columns, own)] = e
+    return out
 
 
 def spans(docs: DataFrame, model: LanguageModel, switch: float = SWITCH) -> DataFrame:
