@@ -140,15 +140,15 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS_PER_LANGUAGE) -> LanguageModel
     return LanguageModel(languages, logp, states, np.array(allowed))
 
 
-def emissions(model: LanguageModel, data: np.ndarray, offs: np.ndarray) -> tuple[tk.Tokens, np.ndarray, np.ndarray]:
-    """The words, their scores (words x used states), each script's best language at 0, and which states are used: those that some word can take, and the first."""
+def emissions(model: LanguageModel, data: np.ndarray, offs: np.ndarray) -> tuple[tk.Tokens, np.ndarray, np.ndarray, np.ndarray]:
+    """The words, their scores (words x used states), each script's best language at 0, which states are used (those that some word can take, and the first), and which words have a script."""
     start, end = tk.run_bounds(tk.IS_WORD[data], offs)
     tok = tk.Tokens(start, end, np.zeros(0, np.uint64), np.searchsorted(start, offs))
     s = scripts(data, start, end) if len(start) else np.zeros(0, np.int64)
     known = s >= 0
     used = np.zeros(len(model.states), bool)
     if not len(start):
-        return tok, np.zeros((0, 0), np.float32), used
+        return tok, np.zeros((0, 0), np.float32), used, known
     used[0] = True
     for one in np.unique(s[known]):
         used |= model.allowed[one]
@@ -161,7 +161,7 @@ def emissions(model: LanguageModel, data: np.ndarray, offs: np.ndarray) -> tuple
     e[~known] = 0
     part = np.where(model.allowed[s[known]][:, columns], e[known], np.float32(FAR))
     e[known] = part - part.max(1, keepdims=True)
-    return tok, np.maximum(e, np.float32(FAR)), used
+    return tok, np.maximum(e, np.float32(FAR)), used, known
 
 
 def viterbi(e: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -202,6 +202,7 @@ def label_spans(column, model: LanguageModel, switch: float = SWITCH) -> tuple[n
     parts: list[tuple[np.ndarray, ...]] = []
     emit: list[np.ndarray] = []
     used: list[np.ndarray] = []
+    scripted: list[np.ndarray] = []
     held = 0
 
     def flush() -> None:
@@ -210,7 +211,7 @@ def label_spans(column, model: LanguageModel, switch: float = SWITCH) -> tuple[n
             return
         doc, begin, stop = (np.concatenate(x) for x in zip(*parts, strict=True))
         columns = np.flatnonzero(np.logical_or.reduce(used))  # no word can take the other states
-        e = np.concatenate([_columns(x, u, columns) for x, u in zip(emit, used, strict=True)])
+        e = np.concatenate([_columns(x, u, k, columns) for x, u, k in zip(emit, used, scripted, strict=True)])
         first = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]])
         label = columns[viterbi(e, first, switch)]
         new = np.ones(len(doc), bool)
@@ -218,11 +219,11 @@ def label_spans(column, model: LanguageModel, switch: float = SWITCH) -> tuple[n
         head = np.flatnonzero(new)
         tail = np.append(head[1:], len(doc))
         done.append((doc[head], begin[head], stop[tail - 1], label[head].astype(np.int64), tail - head))
-        parts.clear(), emit.clear(), used.clear()
+        parts.clear(), emit.clear(), used.clear(), scripted.clear()
         held = 0
 
     for lo, hi, data, offs in tk.slices(column):
-        tok, e, states = emissions(model, data, offs)
+        tok, e, states, known = emissions(model, data, offs)
         if not len(e):
             continue
         chars = tk.char_index(data)
@@ -231,6 +232,7 @@ def label_spans(column, model: LanguageModel, switch: float = SWITCH) -> tuple[n
         parts.append((doc + lo, chars[tok.start] - zero, chars[tok.end] - zero))
         emit.append(e)
         used.append(states)
+        scripted.append(known)
         held += len(e)
         if held >= WORDS_AT_ONCE:
             flush()
@@ -238,13 +240,13 @@ def label_spans(column, model: LanguageModel, switch: float = SWITCH) -> tuple[n
     return tuple(np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64),) * 5
 
 
-def _columns(e: np.ndarray, used: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """e, which has the used states only, over all of ``columns``; words of unknown script (all 0) may take any."""
+def _columns(e: np.ndarray, used: np.ndarray, known: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """e, which has the used states only, over all of ``columns``; words of no script may take any."""
     own = np.flatnonzero(used)
     if len(own) == len(columns):
         return e
     out = np.full((len(e), len(columns)), FAR, np.float32)
-    out[(e == 0).all(1)] = 0
+    out[~known] = 0
     out[:, np.searchsorted(columns, own)] = e
     return out
 
