@@ -34,7 +34,7 @@ from .bpe import Merges
 from .common import arrow_map, list_array, materialize
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-FOLD_CHARS = 62
+FOLD_CHARS = 61
 DICTIONARY_BYTES = 128 << 20
 META = "▁"
 
@@ -197,36 +197,43 @@ def unit_table(texts: DataFrame, model: PieceModel) -> DataFrame:
 
 
 def lattice(units: DataFrame, model: PieceModel) -> DataFrame:
-    """(h, n, size, edges): the pieces that each unit holds, as (place, end, rank, id, score) by rank and place; edges is NULL for units that the fold leaves."""
+    """(h, unit, n, size, singles, edges): the pieces that each unit holds. For unigram models an edge is (s, e, id, score); for merges it is one number, rank, place, end and id from the
+    high bits down, so sorted edges are in the order of rank. Units that the fold leaves have fewer single characters than their size. The table of units is grouped by h already, so nothing is shuffled."""
     rank = {i: k for k, i in enumerate(model.usable)}
-    table = pa.table({"piece": [model.pieces[i] for i in model.usable], "id": pa.array(model.usable, pa.int32()), "rank": pa.array([rank[i] for i in model.usable], pa.int32()), "score": [model.scores[i] for i in model.usable]})
+    table = pa.table({"piece": [model.pieces[i] for i in model.usable], "id": pa.array(model.usable, pa.int64()), "rank": pa.array([rank[i] for i in model.usable], pa.int64()), "score": [model.scores[i] for i in model.usable]})
     pieces = units.sparkSession.createDataFrame(table)
-    size = F.length("unit")
-    own = units.select("h", "n", F.regexp_replace("unit", " ", META).alias("unit")).withColumn("size", size)
-    short = own.where(F.col("size") <= FOLD_CHARS)
-    sub = short.select("h", "unit", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("s"))
-    sub = sub.select("h", "size", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("size") - F.col("s")))).alias("k"), "unit")
-    sub = sub.select("h", "size", "s", (F.col("s") + F.col("k")).alias("e"), F.substring("unit", F.col("s") + 1, F.col("k")).alias("piece"))
+    own = units.withColumn("text", F.translate("unit", " ", META)).withColumn("size", F.length("unit"))
+    fits = F.col("size") <= FOLD_CHARS
+    sub = own.select("h", "unit", "n", "text", "size", F.explode(F.sequence(F.lit(0), F.when(fits, F.col("size") - 1).otherwise(0))).alias("s"))
+    longest = F.when(fits, F.least(F.lit(model.longest), F.col("size") - F.col("s"))).otherwise(1)
+    sub = sub.select("h", "unit", "n", "text", "size", "s", F.explode(F.sequence(F.lit(1), longest)).alias("k"))
+    sub = sub.select("h", "unit", "n", "size", "s", (F.col("s") + F.col("k")).alias("e"), F.substring("text", F.col("s") + 1, F.col("k")).alias("piece"))
     # the piece table's size is the model's, whatever the texts
-    edge = sub.join(F.broadcast(pieces), "piece")
-    return edge.groupBy("h").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("rank", "s", "e", "id", "score"))).alias("edges"), F.count(F.when(F.col("e") - F.col("s") == 1, 1)).alias("singles"))
+    edge = sub.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR e - s = 1")
+    if model.unigram:
+        cell = F.when(F.col("id").isNotNull(), F.struct("s", "e", F.col("id").cast("int").alias("id"), "score"))
+    else:
+        cell = F.shiftleft("rank", 36).bitwiseOR(F.shiftleft(F.col("s").cast("bigint"), 30)).bitwiseOR(F.shiftleft(F.col("e").cast("bigint"), 24)).bitwiseOR(F.col("id"))
+    singles = F.count(F.when((F.col("e") - F.col("s") == 1) & F.col("id").isNotNull(), 1))
+    return edge.groupBy("h").agg(F.first("unit").alias("unit"), F.first("n").alias("n"), F.first("size").alias("size"), F.sort_array(F.collect_list(cell)).alias("edges"), singles.alias("singles"))
 
 
 def fold_merges(size, edges):
     """Ids of a unit's pieces: bits of ``state`` are the borders between symbols; an edge whose ends are borders with just one between takes that one away."""
     one = F.lit(1).cast("bigint")
-    bit = lambda k: F.call_function("shiftleft", one, k)
-    inner = lambda x: bit(x["e"]) - F.call_function("shiftleft", bit(x["s"]), F.lit(1))
-    ends = lambda x: bit(x["s"]).bitwiseOR(bit(x["e"]))
+    bit = lambda k: F.call_function("shiftleft", one, k.cast("int"))
+    s = lambda x: F.shiftright(x, 30).bitwiseAND(63)
+    e = lambda x: F.shiftright(x, 24).bitwiseAND(63)
+    inner = lambda x: bit(e(x)) - bit(s(x) + 1)
+    ends = lambda x: bit(s(x)).bitwiseOR(bit(e(x)))
 
     def step(state, x):
         between = state.bitwiseAND(inner(x))
         return F.when((F.bit_count(between) == 1) & (state.bitwiseAND(ends(x)) == ends(x)), state.bitwiseXOR(between)).otherwise(state)
 
-    long = F.filter(edges, lambda x: x["e"] - x["s"] > 1)
-    start = F.call_function("shiftleft", one, size + 1) - 1
-    state = F.aggregate(long, start, step)
-    return state, lambda s: F.transform(F.array_sort(F.transform(F.filter(edges, lambda x: (s.bitwiseAND(ends(x)) == ends(x)) & (s.bitwiseAND(inner(x)) == 0)), lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id")))), lambda x: x["id"])
+    state = F.aggregate(F.filter(edges, lambda x: e(x) - s(x) > 1), F.call_function("shiftleft", one, size + 1) - 1, step)
+    used = lambda st: F.filter(edges, lambda x: st.bitwiseAND(ends(x).bitwiseOR(inner(x))) == ends(x))
+    return state, lambda st: F.transform(F.array_sort(F.transform(used(st), lambda x: x.bitwiseAND((1 << 36) - 1))), lambda x: x.bitwiseAND((1 << 24) - 1).cast("int"))
 
 
 def fold_viterbi(size, edges):
@@ -253,8 +260,8 @@ def encode_units(units: DataFrame, model: PieceModel) -> DataFrame:
     """(h, n, ids) of every unit."""
     edges = lattice(units, model)
     state, ids = (fold_viterbi if model.unigram else fold_merges)(F.col("size"), F.col("edges"))
-    folded = edges.where(F.col("singles") == F.col("size")).withColumn("state", state).select("h", ids(F.col("state")).alias("ids"))
-    joined = units.join(folded, "h", "left")
+    folds = F.col("singles") == F.col("size")
+    joined = edges.withColumn("state", F.when(folds, state)).withColumn("ids", F.when(folds, ids(F.col("state"))))
 
     def rest(batch: pa.RecordBatch):
         ids = batch.column("ids")
@@ -333,7 +340,7 @@ def encode(docs: DataFrame, model: PieceModel, limit: int = DICTIONARY_BYTES) ->
     plain = docs.drop("piece_ids")
     spark = docs.sparkSession
     texts = plain.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    coded = materialize(encode_units(materialize(unit_table(texts, model), "units"), model), "unit_pieces")
+    coded = materialize(encode_units(unit_table(texts, model), model), "unit_pieces")
     d, others = split_dictionary(coded, limit)
     sent = spark.sparkContext.broadcast((d.keys, d.first, d.ids))
     text_at = plain.columns.index("text")
