@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 NODE = "doc_id string, chunk_id string, parent_id string, ord int, path array<int>, ctype string, mimetype string, content string, text string, metadata string"
 CTYPES = ("inline", "para", "formula", "list", "table", "tablerow", "header", "figure", "code", "div", "page", "root")
 
-_siblings = Window.partitionBy("doc_id", "parent_id").orderBy("ord", "chunk_id")
+def _siblings() -> WindowSpec:
+    return Window.partitionBy("doc_id", "parent_id").orderBy("ord", "chunk_id")
 
 
 def chunk_id(doc_id: Column, path: Column) -> Column:
@@ -29,7 +30,7 @@ def depth(path: Column) -> Column:
 def with_paths(nodes: DataFrame) -> DataFrame:
     """``path`` of nodes that have only parent_id and ord: level by level from the roots, each level written to the checkpoint folder. Nodes that no root leads to are dropped."""
     plain = nodes.drop("path")
-    numbered = plain.withColumn("__n", F.row_number().over(_siblings) - 1)
+    numbered = plain.withColumn("__n", F.row_number().over(_siblings()) - 1)
     level = numbered.where("parent_id IS NULL").withColumn("path", F.array(F.col("__n").cast("int")))
     out = level
     rest = numbered.where("parent_id IS NOT NULL")
@@ -60,7 +61,7 @@ def walk_from(nodes: DataFrame, starts: DataFrame, include_siblings: bool = True
 
 def with_links(nodes: DataFrame) -> DataFrame:
     """next_id, prev_id, child_id: the neighbours and the first child."""
-    near = nodes.withColumn("next_id", F.lead("chunk_id").over(_siblings)).withColumn("prev_id", F.lag("chunk_id").over(_siblings))
+    near = nodes.withColumn("next_id", F.lead("chunk_id").over(_siblings())).withColumn("prev_id", F.lag("chunk_id").over(_siblings()))
     first = nodes.where("parent_id IS NOT NULL").groupBy(F.col("doc_id").alias("__d"), F.col("parent_id").alias("__p")).agg(F.min_by("chunk_id", F.struct("ord", "chunk_id")).alias("child_id"))
     return near.join(first, (F.col("doc_id") == F.col("__d")) & (F.col("chunk_id") == F.col("__p")), "left").drop("__d", "__p")
 
@@ -69,7 +70,7 @@ def nav(nodes: DataFrame, next: int = 0, prev: int = 0, parent: int = 0, child:
     """(doc_id, chunk_id, target_id): the node so many steps away; the first positive argument counts, NULL where there is none."""
     own = nodes.select("doc_id", "chunk_id", "parent_id", "ord", "path")
     if next > 0 or prev > 0:
-        target = F.lead("chunk_id", next).over(_siblings) if next > 0 else F.lag("chunk_id", prev).over(_siblings)
+        target = F.lead("chunk_id", next).over(_siblings()) if next > 0 else F.lag("chunk_id", prev).over(_siblings())
         return own.select("doc_id", "chunk_id", target.alias("target_id"))
     if parent <= 0 and child <= 0:
         return own.select("doc_id", "chunk_id", F.lit(None).cast("string").alias("target_id"))
@@ -121,7 +122,7 @@ def add_children(nodes: DataFrame, children: DataFrame) -> DataFrame:
     last = nodes.where("parent_id IS NOT NULL").groupBy(F.col("doc_id").alias("__d"), F.col("parent_id").alias("__p")).agg(F.max("ord").alias("__last"))
     up = nodes.select(F.col("doc_id").alias("__d2"), F.col("chunk_id").alias("__p2"), F.col("path").alias("__path"))
     new = children.join(up, (F.col("doc_id") == F.col("__d2")) & (F.col("parent_id") == F.col("__p2"))).join(last, (F.col("doc_id") == F.col("__d")) & (F.col("parent_id") == F.col("__p")), "left")
-    place = (F.coalesce("__last", F.lit(-1)) + F.row_number().over(_siblings)).cast("int")
+    place = (F.coalesce("__last", F.lit(-1)) + F.row_number().over(_siblings())).cast("int")
     new = new.withColumn("ord", place).withColumn("path", F.concat("__path", F.array("ord"))).drop("__d", "__p", "__d2", "__p2", "__path", "__last")
     return nodes.unionByName(new, allowMissingColumns=True)
 

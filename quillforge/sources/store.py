@@ -62,4 +62,4 @@ def page_contents(nodes: DataFrame) -> DataFrame:
 def text_nodes(nodes: DataFrame) -> DataFrame:
     """(id_, kind, text, image): text nodes and pictures (base64)."""
     image = F.col("mimetype").startswith("image/")
-    return nodes.select(F.col("chunk_id").alias("id_"), F.when(image, "image").otherwise("text").alias("kind"), F.when(~image, F.col("content")).alias("text"), F.when(image, F.base64("content_bytes")).alias("image"))
+    return nodes.select(F.col("chunk_id").alias("id_"), F.when(image, "image").otherwise("text").alias("kind"), F.when(~image, F.col("content")).alias("text"), F.when(image, F.regexp_replace(F.base64("content_bytes"), "[\r\n]", "")).alias("image"))
