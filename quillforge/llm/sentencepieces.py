@@ -193,7 +193,7 @@ def unit_table(texts: DataFrame, model: PieceModel) -> DataFrame:
             n = np.bincount(inverse, np.concatenate([s[1] for s in seen])).astype(np.int64)
             yield {"h": h.view(np.int64), "unit": pa.concat_arrays([s[2] for s in seen]).take(pa.array(first)), "n": n}
 
-    return arrow_map(texts.select("text"), run, "h bigint, unit string, n bigint").groupBy("h").agg(F.min("unit").alias("unit"), F.sum("n").alias("n"))
+    return arrow_map(texts.select("text"), run, "h bigint, unit string, n bigint").groupBy("h", "unit").agg(F.sum("n").alias("n"))
 
 
 def lattice(units: DataFrame, model: PieceModel) -> DataFrame:
@@ -215,7 +215,7 @@ def lattice(units: DataFrame, model: PieceModel) -> DataFrame:
     else:
         cell = F.shiftleft("rank", 36).bitwiseOR(F.shiftleft(F.col("s").cast("bigint"), 30)).bitwiseOR(F.shiftleft(F.col("e").cast("bigint"), 24)).bitwiseOR(F.col("id"))
     singles = F.count(F.when((F.col("e") - F.col("s") == 1) & F.col("id").isNotNull(), 1))
-    return edge.groupBy("h").agg(F.first("unit").alias("unit"), F.first("n").alias("n"), F.first("size").alias("size"), F.sort_array(F.collect_list(cell)).alias("edges"), singles.alias("singles"))
+    return edge.groupBy("h", "unit", "n", "size").agg(F.sort_array(F.collect_list(cell)).alias("edges"), singles.alias("singles"))
 
 
 def fold_merges(size, edges):
