@@ -134,7 +134,7 @@ def font_size(size: Column, name: Column, b: list[Column], rotation: Column) ->
 
 def mode_of(df: DataFrame, keys: list[str], value: Column, default: int) -> DataFrame:
     """(keys, mode): the most frequent rounded value, the least on ties."""
-    n = df.groupBy(*keys, F.round(value).cast("bigint").alias("__v")).agg(F.count("__v").alias("__n"))
+    n = df.select(*keys, F.round(value).cast("bigint").alias("__v")).groupBy(*keys, "__v").agg(F.count("__v").alias("__n"))
     return n.groupBy(*keys).agg(F.coalesce(F.max_by("__v", F.struct(F.col("__n"), -F.col("__v"))), F.lit(default)).alias("mode"))
 
 
