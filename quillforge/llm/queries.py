@@ -29,9 +29,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, piece_ids, n_pieces, decoded) of every document."""
-    model = sentencepieces.read_model()
-    coded = sentencepieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    return sentencepieces.decode(coded.drop("text"), model).select("doc_id", "piece_ids", F.coalesce(F.size("piece_ids"), F.lit(0)).alias("n_pieces"), "decoded")
+    coded = sentencepieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), sentencepieces.read_model(), decoded=True)
+    return coded.select("doc_id", "piece_ids", F.coalesce(F.size("piece_ids"), F.lit(0)).alias("n_pieces"), "decoded")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

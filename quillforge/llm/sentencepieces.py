@@ -178,20 +178,15 @@ def unit_table(texts: DataFrame, model: PieceModel) -> DataFrame:
     """(h, unit, n): every distinct unit of the column text, with its number of places."""
 
     def run(batch: pa.RecordBatch):
-        seen: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
-        for _, _, raw, raw_offs in tk.slices(batch.column("text"), 4 << 20):
+        for _, _, raw, raw_offs in tk.slices(batch.column("text"), 2 << 20):  # what slices share is summed before the shuffle
             data, start, end, _ = units_of(model, raw, raw_offs)
             if not len(start):
                 continue
             h, first, n = np.unique(tk.span_hashes(data, start, end), return_index=True, return_counts=True)
             size = end[first] - start[first]
             at = np.concatenate([[0], np.cumsum(size)])
-            take = np.arange(at[-1]) - np.repeat(at[:-1], size) + np.repeat(start[first], size)
-            seen.append((h, n, pa.StringArray.from_buffers(len(h), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data[take]))))
-        if seen:
-            h, first, inverse = np.unique(np.concatenate([s[0] for s in seen]), return_index=True, return_inverse=True)
-            n = np.bincount(inverse, np.concatenate([s[1] for s in seen])).astype(np.int64)
-            yield {"h": h.view(np.int64), "unit": pa.concat_arrays([s[2] for s in seen]).take(pa.array(first)), "n": n}
+            take = np.arange(at[-1]) - np.repeat(at[:-1] - start[first], size)
+            yield {"h": h.view(np.int64), "unit": pa.StringArray.from_buffers(len(h), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data[take])), "n": n}
 
     return arrow_map(texts.select("text"), run, "h bigint, unit string, n bigint").groupBy("h", "unit").agg(F.sum("n").alias("n"))
 
@@ -307,76 +302,76 @@ def split_dictionary(coded: DataFrame, limit: int = DICTIONARY_BYTES) -> tuple[D
     return d, None if every or not by else (coded if least is None else coded.where(F.col("n") < least)).select("h", "ids")
 
 
-def code_batch(column, model: PieceModel, d: Dictionary) -> tuple[list, list]:
-    """Parts of the pieces of each text and, where units aren't in the dictionary, -1 - k for the k-th entry of the text's list of missing units."""
-    ids, missing = [], []
-    for _, _, raw, raw_offs in tk.slices(column, 4 << 20):
-        data, start, end, first = units_of(model, raw, raw_offs)
-        h = tk.span_hashes(data, start, end)
-        if len(d.keys):
-            at = np.minimum(np.searchsorted(d.keys, h), len(d.keys) - 1)
-            known = d.keys[at] == h
-        else:
-            at, known = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        some = np.where(known, d.first[np.minimum(at + 1, len(d.first) - 1)] - d.first[np.minimum(at, len(d.first) - 1)], 1)
-        place = np.concatenate([[0], np.cumsum(some)])
-        src = np.arange(place[-1]) - np.repeat(place[:-1], some) + np.repeat(np.where(known, d.first[np.minimum(at, len(d.first) - 1)], 0), some)
-        out = d.ids[np.minimum(src, len(d.ids) - 1)] if len(d.ids) else np.zeros(len(src), np.int32)
-        lost = np.flatnonzero(~known)
-        lost_first = np.searchsorted(lost, first)
-        if len(lost):
-            out = out.copy()
-            text = np.searchsorted(first, lost, "right") - 1
-            out[place[lost]] = -1 - (np.arange(len(lost)) - lost_first[text])
-        ids.append(list_array(pa.array(out, pa.int32()), place[first].astype(np.int32)))
-        missing.append(list_array(pa.array(h[lost].view(np.int64)), lost_first.astype(np.int32)))
-    return ids, missing
-
-
-def encode(docs: DataFrame, model: PieceModel, limit: int = DICTIONARY_BYTES) -> DataFrame:
-    """docs with ``piece_ids``: the pieces of text."""
-    from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
-
-    plain = docs.drop("piece_ids")
+def code_slice(model: PieceModel, d: Dictionary, raw: np.ndarray, raw_offs: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
+    """The pieces of each text and, where units aren't in the dictionary, -1 - k for the k-th entry of the text's list of missing units."""
+    data, start, end, first = units_of(model, raw, raw_offs)
+    h = tk.span_hashes(data, start, end)
+    if len(d.keys):
+        at = np.minimum(np.searchsorted(d.keys, h), len(d.keys) - 1)
+        known = d.keys[at] == h
+        begin, some = d.first[at], d.first[at + 1] - d.first[at]
+        some[~known] = 1
+    else:
+        known, begin, some = np.zeros(len(h), bool), np.zeros(len(h), np.int64), np.ones(len(h), np.int64)
+    place = np.concatenate([[0], np.cumsum(some)])
+    lost = np.flatnonzero(~known)
+    begin[lost] = 0
+    out = np.zeros(place[-1], np.int32)
+    if len(d.ids):
+        src = np.arange(place[-1]) + np.repeat(begin - place[:-1], some)
+        out = d.ids[src]
+    lost_first = np.searchsorted(lost, first)
+    if len(lost):
+        out[place[lost]] = -1 - (np.arange(len(lost)) - lost_first[np.searchsorted(first, lost, "right") - 1])
+    return list_array(pa.array(out, pa.int32()), place[first].astype(np.int32)), list_array(pa.array(h[lost].view(np.int64)), lost_first.astype(np.int32))
+
+
+def encode(docs: DataFrame, model: PieceModel, limit: int = DICTIONARY_BYTES, decoded: bool = False) -> DataFrame:
+    """docs with ``piece_ids``, the pieces of text, and where asked for with ``decoded``, the text that these stand for."""
+    from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
+
+    plain = docs.drop("piece_ids", *(["decoded"] if decoded else []))
     spark = docs.sparkSession
     texts = plain.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     coded = materialize(encode_units(unit_table(texts, model), model), "unit_pieces")
     d, others = split_dictionary(coded, limit)
     sent = spark.sparkContext.broadcast((d.keys, d.first, d.ids))
-    text_at = plain.columns.index("text")
-    lost_name, key_name, partial = "__lost", "__row", others is not None
+    text_at, partial = plain.columns.index("text"), others is not None
+    schema = StructType(plain.schema.fields[:]).add("piece_ids", ArrayType(IntegerType()))
+    if partial:
+        schema.add("__lost", ArrayType(LongType()))
+    at_once = decoded and not partial
+    if at_once:
+        schema.add("decoded", StringType())
+    names, lookup = schema.names, piece_bytes(model)
 
     def run(batches):
         d = Dictionary(*sent.value)
         for batch in batches:
             own = batch.column(text_at).cast(pa.string())
-            ids, missing = code_batch(own, model, d)
-            null = np.asarray(own.is_null())
-            ids = pa.concat_arrays(ids) if ids else pa.array([], pa.list_(pa.int32()))
-            if null.any():
-                ids = pc.if_else(pa.array(null), pa.scalar(None, ids.type), ids)
-            cols = [*batch.columns, ids]
-            if partial:
-                cols.append(pa.concat_arrays(missing) if missing else pa.array([], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(cols, names=[str(i) for i in range(len(cols))])
-
-    if others is None:
-        return plain.mapInArrow(_renamed(run, plain.columns + ["piece_ids"]), StructType(plain.schema.fields[:]).add("piece_ids", ArrayType(IntegerType())))
-    keyed = StructType(plain.schema.fields[:]).add("piece_ids", ArrayType(IntegerType())).add(lost_name, ArrayType(LongType()))
-    rows = materialize(plain.mapInArrow(_renamed(run, plain.columns + ["piece_ids", lost_name]), keyed).withColumn(key_name, F.monotonically_increasing_id()), "coded")
-    want = rows.where(F.size(lost_name) > 0).select(key_name, F.posexplode(lost_name).alias("k", "h"))
-    found = want.join(others.withColumnRenamed("ids", "__ids"), "h").groupBy(key_name).agg(F.sort_array(F.collect_list(F.struct("k", "__ids"))).alias("__found"))
+            for lo, hi, data, offs in tk.slices(own):
+                part = batch.slice(lo, hi - lo)
+                ids, missing = code_slice(model, d, data, offs)
+                null = own.slice(lo, hi - lo).is_null()
+                if null.true_count:
+                    ids = pc.if_else(null, pa.scalar(None, ids.type), ids)
+                cols = [*part.columns, ids]
+                if partial:
+                    cols.append(missing)
+                if at_once:
+                    cols.append(decode_lists(ids, lookup, model.dummy_prefix))
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    rows = plain.mapInArrow(run, schema)
+    if not partial:
+        return rows
+    rows = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "coded")
+    want = rows.where(F.size("__lost") > 0).select("__row", F.posexplode("__lost").alias("k", "h"))
+    found = want.join(others.withColumnRenamed("ids", "__ids"), "h").groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("k", "__ids"))).alias("__found"))
     filled = F.flatten(F.transform("piece_ids", lambda i: F.when(i < 0, F.get("__found", -1 - i)["__ids"]).otherwise(F.array(i))))
-    joined = rows.join(found, key_name, "left")
-    return joined.withColumn("piece_ids", F.when(F.col("__found").isNull(), F.col("piece_ids")).otherwise(filled)).select(*[F.col(f"`{c}`") for c in plain.columns], "piece_ids")
-
-
-def _renamed(run, names):
-    def go(batches):
-        for b in run(batches):
-            yield pa.RecordBatch.from_arrays(b.columns, names=names)
-
-    return go
+    joined = rows.join(found, "__row", "left")
+    out = joined.withColumn("piece_ids", F.when(F.col("__found").isNull(), F.col("piece_ids")).otherwise(filled)).select(*[F.col(f"`{c}`") for c in plain.columns], "piece_ids")
+    return decode(out, model) if decoded else out
 
 
 def piece_bytes(model: PieceModel) -> tuple[np.ndarray, np.ndarray]:
@@ -393,37 +388,40 @@ def piece_bytes(model: PieceModel) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
 
 
+def decode_lists(lists: pa.ListArray, lookup: tuple[np.ndarray, np.ndarray], dummy_prefix: bool) -> pa.Array:
+    """The texts of lists of pieces."""
+    data, first = lookup
+    size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
+    ids = np.asarray(lists.flatten())
+    n = first[ids + 1] - first[ids]
+    place = np.concatenate([[0], np.cumsum(n)])
+    out = data[np.arange(place[-1]) + np.repeat(first[ids] - place[:-1], n)]
+    ends = place[np.concatenate([[0], np.cumsum(size)])]
+    if dummy_prefix:
+        lead = ends[:-1][(ends[1:] > ends[:-1])]
+        lead = lead[out[lead] == 32]
+        keep = np.ones(len(out), bool)
+        keep[lead] = False
+        ends = np.concatenate([[0], np.cumsum(keep)])[ends]
+        out = out[keep]
+    text = pa.LargeStringArray.from_buffers(len(lists), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(out))
+    if lists.null_count:
+        text = pc.if_else(lists.is_null(), pa.scalar(None, pa.large_string()), text)
+    return text.cast(pa.string())
+
+
 def decode(docs: DataFrame, model: PieceModel) -> DataFrame:
     """docs with ``decoded``: the text that piece_ids stand for."""
     from pyspark.sql.types import StringType, StructType
 
     plain = docs.drop("decoded")
     at, names = plain.columns.index("piece_ids"), [*plain.columns, "decoded"]
-    data, first = piece_bytes(model)
+    lookup, dummy_prefix = piece_bytes(model), model.dummy_prefix
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(at)
-            null = np.asarray(lists.is_null())
-            parts: list[pa.Array] = []
-            for lo in range(0, batch.num_rows, 1000):  # whole lists, some at a time
-                part = lists.slice(lo, 1000)
-                size = np.asarray(pc.fill_null(pc.list_value_length(part), 0), dtype=np.int64)
-                ids = np.asarray(part.flatten(), dtype=np.int64)
-                n = first[ids + 1] - first[ids]
-                place = np.concatenate([[0], np.cumsum(n)])
-                out = data[np.arange(place[-1]) - np.repeat(place[:-1], n) + np.repeat(first[ids], n)]
-                ends = place[np.concatenate([[0], np.cumsum(size)])]
-                if model.dummy_prefix:
-                    lead = ends[:-1][(ends[1:] > ends[:-1])]
-                    lead = lead[out[lead] == 32]
-                    keep = np.ones(len(out), bool)
-                    keep[lead] = False
-                    ends = np.concatenate([[0], np.cumsum(keep)])[ends]
-                    out = out[keep]
-                parts.append(pa.LargeStringArray.from_buffers(len(part), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(out)))
-            text = pa.concat_arrays(parts) if parts else pa.array([], pa.large_string())
-            text = pc.if_else(pa.array(null), pa.scalar(None, pa.large_string()), text).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, text], names=names)
+            for lo in range(0, batch.num_rows, 500):  # whole lists, some at a time
+                part = batch.slice(lo, 500)
+                yield pa.RecordBatch.from_arrays([*part.columns, decode_lists(part.column(at), lookup, dummy_prefix)], names=names)
 
     return plain.mapInArrow(run, StructType(plain.schema.fields[:]).add("decoded", StringType()))
