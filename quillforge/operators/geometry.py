@@ -155,12 +155,12 @@ def headings(blocks: DataFrame) -> DataFrame:
 
 
 def layout_stats(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, char_width, line_height, coverage, short_share, is_2d): medians, the share of the joint box that spans cover, the share of lines narrower than 0.6 of it; sparse or short-lined text is laid out in two dimensions."""
+    """(keys, char_width, line_height, coverage, short_share, is_2d): medians, the share of the joint box that spans cover, the share of lines narrower than 0.6 of it; sparse text is laid out in two dimensions. Areas are summed as decimals, so the order of rows doesn't matter."""
     u = union_box(spans, keys).select(*keys, *[F.col(c).alias("u_" + c) for c in BOX])
     both = spans.join(u, keys)
     w, whole = F.col("x2") - F.col("x1"), (F.col("u_x2") - F.col("u_x1")) * (F.col("u_y2") - F.col("u_y1"))
     short = F.when(w < 0.6 * (F.col("u_x2") - F.col("u_x1")), 1.0).otherwise(0.0)
-    cover = F.when(F.max(whole) > 0, F.sum(area(box())) / F.max(whole)).otherwise(F.lit(0.0))
+    cover = F.when(F.max(whole) > 0, F.sum(area(box()).cast("decimal(20,10)")).cast("double") / F.max(whole)).otherwise(F.lit(0.0))
     out = both.groupBy(*keys).agg(F.median(w / F.length("text")).alias("char_width"), F.median(F.col("y2") - F.col("y1")).alias("line_height"), F.round(cover, 6).alias("coverage"), F.round(F.avg(short), 6).alias("short_share"))
     return out.withColumn("is_2d", F.col("coverage") < 0.5)
 

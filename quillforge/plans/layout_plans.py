@@ -149,7 +149,7 @@ def layout_stats(spark, sf_dir):
 
 
 _STATS = f"""u AS (SELECT doc_id, page, min(x1) AS ux1, min(y1) AS uy1, max(x2) AS ux2, max(y2) AS uy2 FROM spans GROUP BY doc_id, page)
- SELECT doc_id, page, median((x2 - x1) / length(text)) AS char_width, median(y2 - y1) AS line_height, round(CASE WHEN max((ux2 - ux1) * (uy2 - uy1)) > 0 THEN sum({_AREA.format('s')}) / max((ux2 - ux1) * (uy2 - uy1)) ELSE 0e0 END, 6) AS coverage,
+ SELECT doc_id, page, median((x2 - x1) / length(text)) AS char_width, median(y2 - y1) AS line_height, round(CASE WHEN max((ux2 - ux1) * (uy2 - uy1)) > 0 THEN CAST(sum(CAST({_AREA.format('s')} AS DECIMAL(20,10))) AS DOUBLE) / max((ux2 - ux1) * (uy2 - uy1)) ELSE 0e0 END, 6) AS coverage,
  round(avg(CASE WHEN x2 - x1 < 6e-1 * (ux2 - ux1) THEN 1e0 ELSE 0e0 END), 6) AS short_share FROM spans s JOIN u USING (doc_id, page) GROUP BY doc_id, page"""
 
 
