@@ -145,7 +145,7 @@ def log_likelihoods(column, table: tuple[np.ndarray, np.ndarray], label: np.ndar
                 own_before = np.empty(len(x))
                 last = times(grams[k - 1], roots[k - 1])
                 own_before[1:] = last[:-1]
-                own_before[begins] = 1.0
+                own_before[begins] = 2.0  # as a context and as the n-gram that ends at the start byte
             bottom = look(before, own_before)
         p = (top + alpha * p) / (np.maximum(bottom, top) + alpha)
     ll = np.stack([np.bincount(row, np.log(p[:, c]), minlength=len(size)) for c in (0, 1)], 1)
