@@ -84,8 +84,8 @@ def list_marker(n: Column, style: str, delimiter: str) -> Column:
 
 
 def csv_field(value: Column) -> Column:
-    """A field quoted where it holds a comma, a quote or a line end."""
-    s = F.coalesce(value.cast("string"), F.lit(""))
+    """A field quoted where it holds a comma, a quote or a line end; backslashes are doubled."""
+    s = F.replace(F.coalesce(value.cast("string"), F.lit("")), F.lit("\\"), F.lit("\\\\"))
     return F.when(s.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(s)
 
 
