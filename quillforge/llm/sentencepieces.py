@@ -256,7 +256,8 @@ def encode_units(units: DataFrame, model: PieceModel) -> DataFrame:
     edges = lattice(units, model)
     state, ids = (fold_viterbi if model.unigram else fold_merges)(F.col("size"), F.col("edges"))
     folds = F.col("singles") == F.col("size")
-    joined = edges.withColumn("state", F.when(folds, state)).withColumn("ids", F.when(folds, ids(F.col("state"))))
+    # as an element of an array the state is made once a unit; as a column it would be put into the lambda and made again for each edge
+    joined = edges.withColumn("ids", F.when(folds, F.transform(F.array(state), ids)[0]))
 
     def rest(batch: pa.RecordBatch):
         ids = batch.column("ids")
