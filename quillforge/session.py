@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -12,15 +14,32 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+def _packed() -> bytes:
+    root = Path(__file__).resolve().parent
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(Path(root.name) / p.relative_to(root)))
+    return out.getvalue()
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application: they needn't have it installed."""
+    """Send this package to the executors, once per application: they needn't have it installed. The archive lies in the folder that spark.checkpoint.dir
+    names; where that is unset, as in tests on one machine, in a temporary one."""
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
-    root = Path(__file__).resolve().parent
-    path = os.path.join(tempfile.mkdtemp(prefix="quillforge-ship-"), "quillforge_pkg.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(Path(root.name) / p.relative_to(root)))
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        path = f"{shared.rstrip('/')}/quillforge/ship-{uuid.uuid4().hex}/quillforge_pkg.zip"
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        stream = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target)
+        try:
+            stream.write(bytearray(_packed()))
+        finally:
+            stream.close()
+    else:
+        path = os.path.join(tempfile.mkdtemp(prefix="quillforge-ship-"), "quillforge_pkg.zip")
+        Path(path).write_bytes(_packed())
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
