@@ -36,6 +36,8 @@ from .common import arrow_map, list_array, materialize
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 FOLD_CHARS = 61
 DICTIONARY_BYTES = 128 << 20
+#: Bytes of texts, whole ones, that are worked on at once.
+TEXT_BYTES = 1 << 19
 META = "▁"
 
 
@@ -178,7 +180,7 @@ def unit_table(texts: DataFrame, model: PieceModel) -> DataFrame:
     """(h, unit, n): every distinct unit of the column text, with its number of places."""
 
     def run(batch: pa.RecordBatch):
-        for _, _, raw, raw_offs in tk.slices(batch.column("text"), 2 << 20):  # what slices share is summed before the shuffle
+        for _, _, raw, raw_offs in tk.slices(batch.column("text"), TEXT_BYTES):  # what slices share is summed before the shuffle
             data, start, end, _ = units_of(model, raw, raw_offs)
             if not len(start):
                 continue
@@ -299,7 +301,9 @@ def split_dictionary(coded: DataFrame, limit: int = DICTIONARY_BYTES) -> tuple[D
     h = np.asarray(t.column("h"), dtype=np.int64).view(np.uint64) if t.num_rows else np.zeros(0, np.uint64)
     order = np.argsort(h)
     lists = (t.column("ids").combine_chunks() if t.num_rows else pa.array([], pa.list_(pa.int32()))).take(pa.array(order))
-    d = Dictionary(h[order], np.asarray(lists.offsets, dtype=np.int64), np.asarray(lists.values, dtype=np.int32))
+    ids = np.asarray(lists.flatten())
+    small = np.uint16 if not len(ids) or ids.max() < 1 << 16 else np.int32
+    d = Dictionary(h[order], np.asarray(lists.offsets, dtype=np.int32), ids.astype(small))
     return d, None if every or not by else (coded if least is None else coded.where(F.col("n") < least)).select("h", "ids")
 
 
@@ -310,7 +314,8 @@ def code_slice(model: PieceModel, d: Dictionary, raw: np.ndarray, raw_offs: np.n
     if len(d.keys):
         at = np.minimum(np.searchsorted(d.keys, h), len(d.keys) - 1)
         known = d.keys[at] == h
-        begin, some = d.first[at], d.first[at + 1] - d.first[at]
+        begin = d.first[at].astype(np.int64)
+        some = d.first[at + 1] - begin
         some[~known] = 1
     else:
         known, begin, some = np.zeros(len(h), bool), np.zeros(len(h), np.int64), np.ones(len(h), np.int64)
@@ -320,7 +325,7 @@ def code_slice(model: PieceModel, d: Dictionary, raw: np.ndarray, raw_offs: np.n
     out = np.zeros(place[-1], np.int32)
     if len(d.ids):
         src = np.arange(place[-1]) + np.repeat(begin - place[:-1], some)
-        out = d.ids[src]
+        out = d.ids[src].astype(np.int32)
     lost_first = np.searchsorted(lost, first)
     if len(lost):
         out[place[lost]] = -1 - (np.arange(len(lost)) - lost_first[np.searchsorted(first, lost, "right") - 1])
@@ -350,7 +355,7 @@ def encode(docs: DataFrame, model: PieceModel, limit: int = DICTIONARY_BYTES, de
         d = Dictionary(*sent.value)
         for batch in batches:
             own = batch.column(text_at).cast(pa.string())
-            for lo, hi, data, offs in tk.slices(own):
+            for lo, hi, data, offs in tk.slices(own, TEXT_BYTES):
                 part = batch.slice(lo, hi - lo)
                 ids, missing = code_slice(model, d, data, offs)
                 null = own.slice(lo, hi - lo).is_null()
