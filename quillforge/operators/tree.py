@@ -11,6 +11,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..session import with_checkpoints
+
 NODE = "doc_id string, chunk_id string, parent_id string, ord int, path array<int>, ctype string, mimetype string, content string, text string, metadata string"
 CTYPES = ("inline", "para", "formula", "list", "table", "tablerow", "header", "figure", "code", "div", "page", "root")
 
@@ -34,6 +36,7 @@ def with_paths(nodes: DataFrame) -> DataFrame:
     level = numbered.where("parent_id IS NULL").withColumn("path", F.array(F.col("__n").cast("int")))
     out = level
     rest = numbered.where("parent_id IS NOT NULL")
+    with_checkpoints(nodes.sparkSession)
     while True:
         up = level.select(F.col("doc_id").alias("__d"), F.col("chunk_id").alias("__p"), F.col("path").alias("__path"))
         level = rest.join(up, (F.col("doc_id") == F.col("__d")) & (F.col("parent_id") == F.col("__p"))).withColumn("path", F.concat("__path", F.array(F.col("__n").cast("int")))).drop("__d", "__p", "__path").checkpoint()

@@ -43,3 +43,13 @@ def ship(spark: SparkSession) -> None:
         Path(path).write_bytes(_packed())
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
+
+
+def with_checkpoints(spark: SparkSession) -> None:
+    """Make checkpoint() usable: in the folder that spark.checkpoint.dir names; where that is unset, on one machine only, in a temporary one."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="quillforge-"))

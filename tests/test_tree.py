@@ -10,7 +10,6 @@ from quillforge.operators import toc, tree
 def nodes(spark):
     rows = [("d", "r", None, 0), ("d", "a", "r", 0), ("d", "b", "r", 1), ("d", "a1", "a", 0), ("d", "a2", "a", 1), ("d", "b1", "b", 0), ("d", "lost", "nobody", 0), ("e", "x", None, 0)]
     t = spark.createDataFrame(rows, "doc_id string, chunk_id string, parent_id string, ord int").withColumns({"ctype": F.lit("para"), "content": F.col("chunk_id"), "mimetype": F.lit("text/plain"), "text": F.lit(None).cast("string"), "metadata": F.lit(None).cast("string")})
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     return tree.with_paths(t).cache()
 
 
