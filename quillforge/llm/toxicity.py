@@ -121,6 +121,22 @@ def fit_cumulative(x_col, x_val, indptr, grade, n_features, n_grades=3, l1=1e-3,
     return w, theta
 
 
+def _frequent(h: np.ndarray, n: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes that ``MIN_DOCS`` texts have, and for each of their places the number of the hash, the text, the count): the others are left out piece by piece, so the driver holds little."""
+    s = np.sort(h)
+    begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    words = s[begin[np.diff(np.append(begin, len(s))) >= MIN_DOCS]]
+    del s, begin
+    parts = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, n.dtype))]
+    for lo in range(0, len(h) if len(words) else 0, 1 << 20):
+        part = h[lo : lo + (1 << 20)]
+        at = np.minimum(np.searchsorted(words, part), len(words) - 1)
+        ok = np.flatnonzero(words[at] == part)
+        parts.append((at[ok].astype(np.int32), (np.searchsorted(first, ok + lo, "right") - 1).astype(np.int32), n[lo : lo + (1 << 20)][ok]))
+    col, row, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return words, col, row, count
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_labelled_per_class: int = MAX_LABELLED_PER_CLASS) -> OrdinalModel:
     """Fit on at most ``max_labelled_per_class`` labelled rows of each class (those with the least hash of their id)."""
     lab = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -140,11 +156,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled_per_class: int = MAX_LA
     toxic = np.asarray(got.column("toxic").combine_chunks(), dtype=np.int64) if got.num_rows else np.zeros(0, np.int64)
     if len(set(toxic.tolist())) < 2:
         return OrdinalModel()
-    hc = got.column("h").combine_chunks()
-    h = np.asarray(hc.values).view(np.uint64)
-    n = np.asarray(got.column("n").combine_chunks().values)
-    row = np.repeat(np.arange(len(toxic)), np.diff(np.asarray(hc.offsets)))
-    words, col = np.unique(h, return_inverse=True)
+    lists = got.column("h").combine_chunks()
+    first = np.asarray(lists.offsets)
+    h, n = np.asarray(lists.values).view(np.uint64), np.asarray(got.column("n").combine_chunks().values)
+    del got, lists
+    words, col, row, n = _frequent(h, n, first)
+    del h
     df1 = np.bincount(col, toxic[row] == 1, minlength=len(words))
     df0 = np.bincount(col, minlength=len(words)) - df1
     keep = df0 + df1 >= MIN_DOCS
