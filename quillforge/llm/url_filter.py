@@ -6,7 +6,8 @@ next lower one: P(c | ctx) = (N(ctx c) + ALPHA P(c | shorter ctx)) / (N(ctx) + A
 (rejected - accepted) per byte. Labelled URLs held out by a hash of the URL calibrate it: a logistic curve gives P(reject), and URLs
 at ``REJECT_AT`` or more are rejected; the final models count all labelled URLs, each URL less its own counts, so no URL is judged by itself.
 
-Labels: a URL is rejected where its host has a label of the blocklist (``BLOCKED``, a parameter) and accepted otherwise; ``label`` may be any column expression.
+Labels: a URL is rejected where its host has a label of the blocklist (``BLOCKED``, a parameter) and accepted otherwise, so a bad host that isn't
+listed trains the accepted model. ``label`` may be any column expression, ``names`` any other list.
 
 Defined results: NULL and empty URLs score 0 and aren't rejected; rows without an id are kept under a NULL id; repeated rows count and
 score each; without both labels all probabilities are 0; other columns are ignored.
@@ -26,7 +27,7 @@ ORDER = 5
 ALPHA = 4.0
 REJECT_AT = 0.5
 HELD_OUT = 5
-BLOCKED = ("casino-win", "free-bets", "cheap-pills", "ads-track")
+BLOCKED = ("casino-win", "free-bets", "cheap-pills", "ads-track", "spam-farm", "adult-x")
 #: The count table is shipped to the executors whole; beyond this size an error asks for a lower order.
 MAX_MODEL_BYTES = 1 << 30
 
@@ -178,10 +179,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, fl
     return float(w[0]), float(w[1])
 
 
-def score(pages: DataFrame, label: Column | None = None, order: int = ORDER, reject_at: float = REJECT_AT) -> DataFrame:
+def score(pages: DataFrame, label: Column | None = None, order: int = ORDER, reject_at: float = REJECT_AT, names: tuple[str, ...] = BLOCKED) -> DataFrame:
     """(page_id, score, p_reject, rejected) of every page."""
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.coalesce(blocked_host(url) if label is None else label.cast("int"), F.lit(0)).alias("label"))
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.coalesce(blocked_host(url, names) if label is None else label.cast("int"), F.lit(0)).alias("label"))
     some = own.where("url <> ''")
     held = F.pmod(F.xxhash64(F.lit(11), "url"), F.lit(HELD_OUT)) == 0
     part = gather(some.where(~held).select("url", "label"), order)

@@ -88,3 +88,15 @@ def test_counts_grow_with_the_table(spark):
     some = lambda n: [("https://a.example/" + "".join(rng.choice("abcdefghijklmnop") for _ in range(30)), 0) for _ in range(n)]
     small, large = (len(U.gather(spark.createDataFrame(some(n), "url string, label int"))[0]) for n in (50, 400))
     assert large > 3 * small
+
+
+def test_all_bad_hosts_of_the_tables_are_labelled(spark):
+    bad = ["casino-win", "free-bets", "cheap-pills", "ads-track", "spam-farm", "adult-x"]
+    t = spark.createDataFrame([(f"https://m.{h}.example.net/fr/780#top", 1) for h in bad] + [("https://news.example.org/spam-farm", 0)], "url string, due int")
+    assert all(r.got == r.due for r in t.select(U.blocked_host(t["url"]).alias("got"), "due").collect())
+
+
+def test_another_blocklist(spark):
+    rows = [(i, u.replace("casino-win", "fake-shop").replace("free-bets", "fake-shop").replace("cheap-pills", "fake-shop")) for i, u in urls(150)]
+    got = U.score(spark.createDataFrame(rows, "page_id bigint, url string"), names=("fake-shop",)).collect()
+    assert np.mean([r.rejected == (r.page_id % 3 == 0) for r in got]) > 0.97
