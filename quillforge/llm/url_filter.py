@@ -3,8 +3,8 @@
 Two variable-order Markov models, of accepted and of rejected URLs, over bytes of the lower-case URL with digits taken as one sign. Counts of all
 n-grams of up to ``ORDER`` bytes are gathered from every URL of the table. Each order's estimate is smoothed towards the
 next lower one: P(c | ctx) = (N(ctx c) + ALPHA P(c | shorter ctx)) / (N(ctx) + ALPHA), down to uniform bytes. The score is the log-likelihood difference
-(rejected - accepted) per byte. Labelled URLs held out by a hash of the URL calibrate it: a logistic curve gives P(reject), and URLs
-at ``REJECT_AT`` or more are rejected; the final models count all labelled URLs, each URL less its own counts, so no URL is judged by itself.
+(rejected - accepted) per byte. All labelled URLs calibrate it, each scored by the models less the counts of all its copies: a logistic curve gives P(reject), and URLs
+at ``REJECT_AT`` or more are rejected; the models count all labelled URLs, each URL less its own counts.
 
 Labels: a URL is rejected where its host has a label of the blocklist (``BLOCKED``, a parameter) and accepted otherwise, so a bad host that isn't
 listed trains the accepted model. ``label`` may be any column expression, ``names`` any other list.
@@ -26,7 +26,6 @@ from .common import arrow_map
 ORDER = 5
 ALPHA = 4.0
 REJECT_AT = 0.5
-HELD_OUT = 5
 BLOCKED = ("casino-win", "free-bets", "cheap-pills", "ads-track", "spam-farm", "adult-x")
 #: The count table is shipped to the executors whole; beyond this size an error asks for a lower order.
 MAX_MODEL_BYTES = 1 << 30
@@ -100,14 +99,16 @@ def context_roots(order: int) -> list[np.uint64]:
     return out
 
 
-def log_likelihoods(column, table: tuple[np.ndarray, np.ndarray], label: np.ndarray | None = None, order: int = ORDER, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
-    """(log-likelihood under both models, bytes scored) of each URL; with labels, each URL's own counts are taken off its class's."""
+def log_likelihoods(column, table: tuple[np.ndarray, np.ndarray], label: np.ndarray | None = None, order: int = ORDER, alpha: float = ALPHA, copies: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(log-likelihood under both models, bytes scored) of each URL; with labels, each URL's own counts are taken off its class's,
+    as often as ``copies`` says (once)."""
     keys, counts = table
     x, offs = prepare(column)
     size = np.diff(offs)
     if not len(x):
         return np.zeros((len(size), 2)), np.maximum(size, 1)
     row = np.repeat(np.arange(len(size)), size)
+    often = np.ones(len(x)) if copies is None else copies[row].astype(float)
     grams = ngram_hashes(x, offs, order)
     roots = context_roots(order)
     begins = np.zeros(len(x), bool)
@@ -117,7 +118,7 @@ def log_likelihoods(column, table: tuple[np.ndarray, np.ndarray], label: np.ndar
         at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
         n = counts[at] * (keys[at] == h)[:, None] if len(keys) else np.zeros((len(h), 2))
         if own is not None:
-            n[np.arange(len(h)), label[row]] -= own
+            n[np.arange(len(h)), label[row]] -= own * often
         return np.maximum(n, 0)
 
     def times(h: np.ndarray, root: np.uint64) -> np.ndarray | None:
@@ -136,7 +137,7 @@ def log_likelihoods(column, table: tuple[np.ndarray, np.ndarray], label: np.ndar
         if k == 0:
             bottom = np.tile(total, (len(x), 1))
             if label is not None:
-                bottom[np.arange(len(x)), label[row]] -= size[row] + 1
+                bottom[np.arange(len(x)), label[row]] -= (size[row] + 1) * often
         else:
             before = np.empty(len(x), np.uint64)
             before[1:] = grams[k - 1][:-1]
@@ -184,23 +185,19 @@ def score(pages: DataFrame, label: Column | None = None, order: int = ORDER, rej
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.coalesce(blocked_host(url, names) if label is None else label.cast("int"), F.lit(0)).alias("label"))
     some = own.where("url <> ''")
-    held = F.pmod(F.xxhash64(F.lit(11), "url"), F.lit(HELD_OUT)) == 0
-    part = gather(some.where(~held).select("url", "label"), order)
-
-    def marks(table, leave_out: bool):
-        def run(batch: pa.RecordBatch):
-            for lo in range(0, batch.num_rows, 4000):
-                b = batch.slice(lo, 4000)
-                ll, size = log_likelihoods(b.column("url"), table, np.asarray(b.column("label"), dtype=np.int64) if leave_out else None, order)
-                yield {"page_id": b.column("page_id"), "url": b.column("url"), "label": b.column("label"), "score": (ll[:, 1] - ll[:, 0]) / size}
-
-        return run
+    whole = gather(some.select("url", "label"), order)
 
-    kept = "page_id bigint, url string, label int, score double"
-    seen = arrow_map(some.where(held), marks(part, False), kept).groupBy(F.round("score", 2).alias("x"), "label").agg(F.count("*").alias("n")).toArrow().to_pylist()
+    def run(batch: pa.RecordBatch):
+        for lo in range(0, batch.num_rows, 4000):
+            b = batch.slice(lo, 4000)
+            ll, size = log_likelihoods(b.column("url"), whole, np.asarray(b.column("label"), dtype=np.int64), order, copies=np.asarray(b.column("n"), dtype=np.int64))
+            yield {"page_id": b.column("page_id"), "url": b.column("url"), "label": b.column("label"), "n": b.column("n"), "score": (ll[:, 1] - ll[:, 0]) / size}
+
+    kept = "page_id bigint, url string, label int, n bigint, score double"
+    once = some.groupBy("url", "label").agg(F.count("*").alias("n")).withColumn("page_id", F.lit(None).cast("long"))
+    seen = arrow_map(once, run, kept).groupBy(F.round("score", 2).alias("x"), "label").agg(F.sum("n").alias("n")).toArrow().to_pylist()
     x, y, n = (np.array([r[c] for r in seen], float) for c in ("x", "label", "n"))
-    whole = gather(some.select("url", "label"), order)
-    scored = arrow_map(own, marks(whole, True), kept)
+    scored = arrow_map(own.withColumn("n", F.lit(1).cast("long")), run, kept)
     if len(set(y.tolist())) < 2:
         p = F.lit(0.0)
     else:

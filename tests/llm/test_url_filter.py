@@ -100,3 +100,12 @@ def test_another_blocklist(spark):
     rows = [(i, u.replace("casino-win", "fake-shop").replace("free-bets", "fake-shop").replace("cheap-pills", "fake-shop")) for i, u in urls(150)]
     got = U.score(spark.createDataFrame(rows, "page_id bigint, url string"), names=("fake-shop",)).collect()
     assert np.mean([r.rejected == (r.page_id % 3 == 0) for r in got]) > 0.97
+
+
+def test_few_rejected_urls_are_enough(spark):
+    """Those whose hash a held-out fifth doesn't take count too, and copies of a URL don't calibrate by themselves."""
+    rows = [(i, u) for i, u in urls(150) if i % 3] + [(1000 + i, f"http://free-bets.example.com/play/bonus/{i}") for i in range(60)]
+    t = spark.createDataFrame(rows, "page_id bigint, url string")
+    few = t.where("page_id < 1000 OR pmod(xxhash64(11, url), 5) <> 0").where("page_id < 1030")
+    got = U.score(few.unionByName(few)).collect()
+    assert any(r.page_id >= 1000 for r in got) and np.mean([r.rejected == (r.page_id >= 1000) for r in got]) > 0.97
