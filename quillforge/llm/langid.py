@@ -31,6 +31,8 @@ SMOOTH = 0.05
 SWITCH = 12.0
 SCRIPT_SHARE = 0.02
 FAR = -1e4
+#: What a Han character costs as Japanese where no language ja is trained: less than a switch, so text with Kana keeps its kanji, and Han alone is Chinese.
+HAN_JA = 0.5
 WORDS_AT_ONCE = 1 << 20
 
 #: Script, first code point, one past the last.
@@ -103,7 +105,7 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS_PER_LANGUAGE) -> LanguageModel
             total = np.zeros(1 << SLOT_BITS, np.int64)
             script = np.zeros(len(SCRIPTS), np.int64)
             for _, _, data, offs in tk.slices(batch.column("text").take(pa.array(np.flatnonzero(langs == lang)))):
-                start, end = tk.run_bounds(tk.IS_WORD[data], offs)
+                start, end = tk.word_bounds(data, offs, runs=True)
                 if len(start):
                     total += np.bincount(trigram_slots(tk.lower_bytes(data), start, end)[0], minlength=1 << SLOT_BITS)
                     s = scripts(data, start, end)
@@ -142,7 +144,7 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS_PER_LANGUAGE) -> LanguageModel
 
 def emissions(model: LanguageModel, data: np.ndarray, offs: np.ndarray) -> tuple[tk.Tokens, np.ndarray, np.ndarray, np.ndarray]:
     """The words, their scores (words x used states), each script's best language at 0, which states are used (those that some word can take, and the first), and which words have a script."""
-    start, end = tk.run_bounds(tk.IS_WORD[data], offs)
+    start, end = tk.word_bounds(data, offs, runs=True)
     tok = tk.Tokens(start, end, np.zeros(0, np.uint64), np.searchsorted(start, offs))
     s = scripts(data, start, end) if len(start) else np.zeros(0, np.int64)
     known = s >= 0
@@ -160,7 +162,11 @@ def emissions(model: LanguageModel, data: np.ndarray, offs: np.ndarray) -> tuple
         e[:, : len(trained)] = np.add.reduceat(model.logp[:, trained][slot], first[:-1], axis=0)
     e[~known] = 0
     part = np.where(model.allowed[s[known]][:, columns], e[known], np.float32(FAR))
-    e[known] = part - part.max(1, keepdims=True)
+    part -= part.max(1, keepdims=True)
+    if "ja" in model.states[len(model.languages) :] and used[ja := model.states.index("ja")]:
+        han = s[known] == SCRIPTS.index("Hani")
+        part[han, np.searchsorted(columns, ja)] = -HAN_JA * ((end - start)[known][han] // 3)
+    e[known] = part
     return tok, np.maximum(e, np.float32(FAR)), used, known
 
 

@@ -1,14 +1,18 @@
 """Vectorised text kernel: Arrow string columns to word tokens and 64-bit hashes, in numpy.
 
-A *word* is a maximal run of ASCII letters, ASCII digits and non-ASCII bytes of the UTF-8 text; everything else
-separates. Words compare in lower case (ASCII and Latin-1 letters). NULL texts count as empty. A text is always taken
+A *word* is a maximal run of letters, digits and their marks by Unicode's classes; everything else (spaces, punctuation, symbols)
+separates. In scripts written without spaces (Han, Kana, Thai, Lao, Khmer, Burmese) each letter with its marks is a word. Words compare
+with their case folded where the folded letter has as many bytes (not so: sharp s, dotted capital I). NULL texts count as empty. A text is always taken
 whole; only the number of texts handled at once is bounded (``SLICE_BYTES``), never the length of one.
 """
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +28,10 @@ IS_WORD[128:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: Scripts without spaces: first code point, one past the last.
+ALONE = [(0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3005, 0x3008), (0x3041, 0x3100), (0x31F0, 0x3200), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00), (0xFF66, 0xFFA0), (0x1B000, 0x1B170), (0x20000, 0x323B0)]
+SEPARATOR, LETTER, SINGLE, MARK = range(4)
+
 _POW = np.ones(1, np.uint64)
 _INV = np.ones(1, np.uint64)
 
@@ -87,14 +95,82 @@ def slices(col, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray
         lo = hi
 
 
+@lru_cache(1)
+def _unicode() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: the class, and the folded letter where it is one of as many bytes, else the code point."""
+    kind = np.zeros(sys.maxunicode + 1, np.uint8)
+    fold = np.arange(sys.maxunicode + 1, dtype=np.uint32)
+    of = {"L": LETTER, "N": LETTER, "M": MARK}
+    for c in range(128, sys.maxunicode + 1):
+        cat = unicodedata.category(x := chr(c))
+        kind[c] = LETTER if cat in ("Cn", "Co") else of.get(cat[0], SEPARATOR)
+        if cat[0] == "L" and len(y := x.casefold()) == 1 and y != x and len(y.encode()) == len(x.encode()):
+            fold[c] = ord(y)
+    for a, b in ALONE:
+        kind[a:b][kind[a:b] == LETTER] = SINGLE
+    kind[[0xAD, 0x200C, 0x200D]] = MARK  # within words: soft hyphen, joiner and non-joiner
+    return kind, fold
+
+
+def _wide(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, bytes, code point) of the characters beyond ASCII."""
+    at = np.flatnonzero(data >= 0xC0)
+    lead = data[at].astype(np.uint32)
+    size = 2 + (lead >= 0xE0).astype(np.int64) + (lead >= 0xF0)
+    cp = lead & (np.uint32(0x7F) >> size.astype(np.uint32))
+    for k in range(1, 4):
+        more = size > k
+        cp[more] = (cp[more] << np.uint32(6)) | (data[at[more] + k] & 0x3F)
+    return at, size, cp
+
+
 def lower_bytes(data: np.ndarray) -> np.ndarray:
     low = LOWER[data]
-    if len(data) > 1:
-        up = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
-        low[1:][up] |= 0x20
+    at, size, cp = _wide(data)
+    if not len(at):
+        return low
+    new = _unicode()[1][cp]
+    some = np.flatnonzero(new != cp)
+    at, size, new = at[some], size[some], new[some]
+    for k in range(1, 4):
+        more = size > k
+        low[at[more] + size[more] - k] = 0x80 | (new[more] & 0x3F)
+        new[more] >>= np.uint32(6)
+    low[at] = new | np.array([0, 0, 0xC0, 0xE0, 0xF0], np.uint32)[size]
     return low
 
 
+def word_bounds(data: np.ndarray, offs: np.ndarray, runs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words; with ``runs`` neighbours of one script without spaces stay together."""
+    inside = IS_WORD[data]
+    at, size, cp = _wide(data)
+    if not len(at):
+        return run_bounds(inside, offs)
+    kind = _unicode()[0][cp]
+    out = kind == SEPARATOR
+    for k in range(4):
+        inside[(at + k)[out & (size > k)]] = False
+    start, end = run_bounds(inside, offs)
+    alone = kind == SINGLE
+    if alone.any():
+        mark = np.zeros(len(data) + 1, np.int64)
+        mark[at[kind == MARK]] = size[kind == MARK]
+        mark[offs] = 0  # the next text's
+        after = at[alone] + size[alone]
+        while (step := mark[after]).any():
+            after = after + step
+        cut = np.unique(np.concatenate([at[alone], after]))
+        if runs:
+            c, block = cp[alone], cp[alone] >> np.uint32(7)
+            kana = ((c >= 0x3041) & (c < 0x3200)) | ((c >= 0xFF66) & (c < 0xFFA0)) | ((c >= 0x1B000) & (c < 0x1B170))
+            block[c >= 0x3000] = np.where(kana, 1, 0)[c >= 0x3000]
+            cut = np.setdiff1d(cut, after[:-1][(after[:-1] == at[alone][1:]) & (block[:-1] == block[1:])])
+        cut = cut[(cut > 0) & (cut < len(data))]
+        cut = cut[inside[cut] & inside[cut - 1] & ~np.isin(cut, offs)]
+        start, end = np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
+    return start, end
+
+
 def run_bounds(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True, which never reach over a text's end."""
     n = len(inside)
@@ -124,7 +200,7 @@ def span_hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 
 
 def tokenize(data: np.ndarray, offs: np.ndarray) -> Tokens:
-    start, end = run_bounds(IS_WORD[data], offs)
+    start, end = word_bounds(data, offs)
     first = np.searchsorted(start, offs)
     return Tokens(start, end, span_hashes(lower_bytes(data), start, end), first)
 

@@ -105,3 +105,11 @@ def test_several_passes_find_the_same(spark, docs, monkeypatch):
     monkeypatch.setattr(D, "MAX_BENCHMARK_BYTES", 300)
     texts = dict(rows)
     assert {x for x in whole if texts[x[0]][x[1]].isalnum()} == {x for x in chars() if texts[x[0]][x[1]].isalnum()}
+
+
+def test_scripts_without_spaces_and_typography(spark, docs):
+    items = ["北京是中国的首都也是历史悠久的城市", "東京は日本の首都であり世界でも有数の大都市です", "กรุงเทพเป็นเมืองหลวงของไทย", "the quick brown fox jumps over the lazy dog", "ПРИВЕТ МИР КАК ТВОИ ДЕЛА"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    texts = ["前文。" + items[0] + "，后文", "序文、" + items[1] + "。", "ข่าว " + items[2] + " จบ", "x “the\u00a0quick” — brown\u00a0fox… «jumps» over‘the’lazy—dog y", "а привет, мир — как «твои» дела б"]
+    got = {r.doc_id: r.item_ids for r in D.leaks(docs(list(enumerate(texts))), bench).collect()}
+    assert got == {i: [i] for i in range(5)}

@@ -69,3 +69,13 @@ def test_accuracy_on_given_table(spark, sf):
     main = got.sort_values("n_words").groupby("doc_id").lang.last()
     truth = t.select("doc_id", "lang").toPandas().set_index("doc_id").lang
     assert (main == truth.loc[main.index]).mean() > 0.95
+
+
+def test_scripts_without_spaces(spark):
+    model = langid.fit(spark.createDataFrame([(1, EN, "en"), (2, FR, "fr")], "doc_id bigint, text string, lang string"))
+    texts = ["東京は日本の首都であり世界でも有数の大都市です。", "北京是中国的首都也是历史悠久的城市。", "กรุงเทพเป็นเมืองหลวงของไทย", EN + "。北京是中国的首都也是历史悠久的城市这里有很多人。"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {}
+    for r in langid.spans(rows, model).orderBy("doc_id", "span_no").collect():
+        got.setdefault(r.doc_id, []).append(r.lang)
+    assert got == {0: ["ja"], 1: ["zh"], 2: ["th"], 3: ["en", "zh"]}

@@ -72,3 +72,18 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
     got = {r.doc_id: r.root for r in near_dedup.components(edges).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100}
+
+
+def test_scripts_without_spaces_and_typography(docs):
+    rng = random.Random(8)
+    rows, due = [], set()
+    for k, (a, b) in enumerate([(0x4E00, 0x9000), (0x3042, 0x3094), (0x0E01, 0x0E2E)]):
+        t = [chr(rng.randrange(a, b)) for _ in range(300)]
+        u = list(t)
+        u[150] = chr(a)
+        rows += [(10 * k, "".join(t)), (10 * k + 1, "".join(u))]
+        due.add((10 * k + 1, 10 * k))
+    w = words(rng, 60)
+    rows += [(50, " ".join(w)), (51, "\u00a0".join(f"“{x}”…" for x in w)), (60, "ПРИВЕТ МИР КАК ДЕЛА"), (61, "привет мир — как дела")]
+    got = {(r.doc_id, r.kept_doc_id) for r in near_dedup.duplicates(docs(rows)).collect()}
+    assert got == due | {(51, 50), (61, 60)}
