@@ -9,9 +9,9 @@ import re
 import tomllib
 import zipfile
 from collections.abc import Iterator
-from html.parser import HTMLParser
 from xml.etree import ElementTree as ET
 
+from ..functions.markup import LenientParser
 from ..functions.splitting import word_len
 from ..operators.markdown import parse_blocks
 from ..operators.render import Node
@@ -110,7 +110,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 BLOCKS = {"p", "div", "section", "article", "main", "nav", "footer", "header", "aside", "ul", "ol", "li", "table", "tr", "pre", "blockquote", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "body", "html", "form", "caption"}
 
 
-class _HtmlTree(HTMLParser):
+class _HtmlTree(LenientParser):
     """Headings hold what follows them by level; paragraphs, lists, tables, code; hidden and empty elements go."""
 
     def __init__(self) -> None:

@@ -97,6 +97,8 @@ def test_html():
     assert sub.content == "S" and [c.ctype for c in sub.children] == ["table", "code"] and [r.content for r in sub.children[0].children] == ["1,a b"]
     assert "no" not in render_plain(root).split() and "- x" in render_plain(root) and "- y" in render_plain(root)
     assert formats.parse_html(b"", "x").children == []
+    broken = formats.parse_html(b"<p>a</p><![foo[x]]><p>b</p>", "x")
+    assert [c.content for c in broken.children] == ["a", "b"]
 
 
 def test_ipynb_and_markup():
