@@ -5,20 +5,20 @@ the characters of text and the tags are counted. The ratio (a line without a tag
 reaches the standard deviation of all smoothed ratios of the page form the content regions. Script, style, template, head and
 comment content is no text.
 
-Defined results: NULL and empty pages give an empty text and no lines; malformed markup never fails; a page with one line is
+Defined results: NULL and empty pages give an empty text and no lines; malformed markup never fails (a marked section of an unknown kind is a comment up to its ``>``); a page with one line is
 content; rows without an id are kept under a NULL id; repeated rows each give a row; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.markup import LenientParser
 from .common import arrow_map
 
 SIGMA = 1.0
@@ -30,7 +30,7 @@ SILENT = frozenset("script style template noscript title head".split())
 SPACE = re.compile(r"\s+")
 
 
-class LineParser(HTMLParser):
+class LineParser(LenientParser):
     """Gathers, line by line, the text and the number of tags."""
 
     def __init__(self) -> None:
