@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import arrow_map, id_text, list_array
+from .common import arrow_map, id_text, list_array, map_batches
 
 PHRASE_WORDS = 8
 MIN_ITEM_WORDS = 5
@@ -289,5 +289,5 @@ def strip(docs: DataFrame, benchmark: DataFrame, words: int = PHRASE_WORDS) -> D
                 d, b, e, _, _ = find_leaks(batch.column(text_at), phrases)
                 yield replace_texts(batch, text_at, chars_at, cut_spans(batch.column(text_at), d, b, e))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = map_batches(docs, run, schema)
     return docs

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .bpe import Merges
-from .common import arrow_map, list_array, materialize
+from .common import arrow_map, list_array, map_batches, materialize
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 FOLD_CHARS = 61
@@ -368,7 +368,7 @@ def encode(docs: DataFrame, model: PieceModel, limit: int = DICTIONARY_BYTES, de
                     cols.append(decode_lists(ids, lookup, model.dummy_prefix))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    rows = plain.mapInArrow(run, schema)
+    rows = map_batches(plain, run, schema)
     if not partial:
         return rows
     rows = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "coded")
@@ -430,4 +430,4 @@ def decode(docs: DataFrame, model: PieceModel) -> DataFrame:
                 part = batch.slice(lo, 500)
                 yield pa.RecordBatch.from_arrays([*part.columns, decode_lists(part.column(at), lookup, dummy_prefix)], names=names)
 
-    return plain.mapInArrow(run, StructType(plain.schema.fields[:]).add("decoded", StringType()))
+    return map_batches(plain, run, StructType(plain.schema.fields[:]).add("decoded", StringType()))

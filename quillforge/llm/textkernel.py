@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 MULT_INV = np.uint64(pow(int(MULT), -1, 1 << 64))
 
@@ -37,15 +37,19 @@ _INV = np.ones(1, np.uint64)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the multiplier and of its inverse; those of a longer text than a slice aren't kept."""
     global _POW, _INV
-    if len(_POW) < n:
-        size = max(n, SLICE_BYTES + 1)
-        a = np.full(size, MULT, np.uint64)
-        a[0] = 1
-        b = np.full(size, MULT_INV, np.uint64)
-        b[0] = 1
-        _POW, _INV = np.cumprod(a), np.cumprod(b)
-    return _POW, _INV
+    if len(_POW) >= n:
+        return _POW, _INV
+    size = max(n, SLICE_BYTES + 1)
+    a = np.full(size, MULT, np.uint64)
+    a[0] = 1
+    b = np.full(size, MULT_INV, np.uint64)
+    b[0] = 1
+    power, inverse = np.cumprod(a), np.cumprod(b)
+    if size == SLICE_BYTES + 1:
+        _POW, _INV = power, inverse
+    return power, inverse
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import arrow_map, id_text, list_array
+from .common import arrow_map, id_text, list_array, map_batches
 
 #: Bound on the labelled rows of each class that the model is fitted on, drawn by a hash of the id.
 MAX_LABELLED_PER_CLASS = 6000
@@ -221,4 +221,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, reject_at: float = REJECT_AT)
                 keep[lo:hi] = model.at_least(raw_scores(model, data, offs))[:, 0] < reject_at
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
