@@ -7,6 +7,9 @@ The index is a Burrows-Wheeler transform over a suffix array (prefix doubling),
 searched backwards all at once, hits located by walking to suffix positions sampled every ``SAMPLE`` words and at the
 starts of runs, and hits of a document merged into removal spans.
 
+Benchmarks beyond ``MAX_BENCHMARK_BYTES`` are searched in passes, each over the texts as they were given. The hits of all passes are kept by text, merged once and cut once, so
+the number of passes changes no result.
+
 Defined results: NULL or empty texts have no spans; rows without an id are searched under a NULL id by
 ``strip`` and dropped by ``leaks``; repeated rows each get their spans; an empty benchmark finds nothing; items without
 an id or text are ignored; items under ``MIN_ITEM_WORDS`` words are too short to tell a leak and are ignored; extra columns are ignored by ``leaks`` and kept
@@ -15,21 +18,23 @@ by ``strip``. Case, punctuation and white space between words don't matter.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import arrow_map, id_text, list_array, map_batches
+from .common import arrow_map, id_text, list_array, map_batches, materialize, unused
 
 PHRASE_WORDS = 8
 MIN_ITEM_WORDS = 5
 SAMPLE = 8
 #: Benchmarks beyond this many bytes of text are searched in several passes, so that what is shipped stays bounded.
-MAX_BENCHMARK_BYTES = 32 << 20
+MAX_BENCHMARK_BYTES = 8 << 20
 
 
 @dataclass
@@ -44,23 +49,28 @@ class Phrases:
         return min(self.by_length, default=0)
 
 
-def compile_phrases(item_ids: np.ndarray, texts: list[str], words: int = PHRASE_WORDS) -> Phrases:
-    data, offs = tk.string_buffers(pa.array(texts, pa.string()))
-    tok = tk.tokenize(data, offs)
-    vocab = np.unique(tok.hash)
-    sym = (np.searchsorted(vocab, tok.hash) + 1).astype(np.int64)
-    found: dict[int, dict[tuple, set]] = {}
-    for i in range(len(texts)):
-        s = sym[tok.first[i] : tok.first[i + 1]]
-        if len(s) < MIN_ITEM_WORDS:
-            continue
-        n = min(words, len(s))
-        for k in range(len(s) - n + 1):
-            found.setdefault(n, {}).setdefault(tuple(s[k : k + n].tolist()), set()).add(int(item_ids[i]))
+def compile_phrases(item_ids: np.ndarray, texts: pa.Array, words: int = PHRASE_WORDS) -> Phrases:
+    """The distinct phrases of the items, by length, with the items that have them."""
+    hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for _, _, data, offs in tk.slices(texts):
+        tok = tk.tokenize(data, offs)
+        hashes.append(tok.hash)
+        counts.append(np.diff(tok.first))
+    vocab, sym = np.unique(np.concatenate(hashes), return_inverse=True)
+    sym, count = (sym + 1).astype(np.int32), np.concatenate(counts)
+    begin = np.cumsum(count) - count
     out = {}
-    for n, d in found.items():
-        sets = [sorted(x) for x in d.values()]
-        out[n] = (np.array(list(d), np.int64).reshape(len(d), n), np.concatenate([np.array(x, np.int64) for x in sets]), np.concatenate([[0], np.cumsum([len(x) for x in sets])]))
+    for n in range(MIN_ITEM_WORDS, words + 1):
+        own = np.flatnonzero(count >= words if n == words else count == n)
+        size = count[own] - n + 1
+        if not size.sum():
+            continue
+        item = np.repeat(own, size)
+        start = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + begin[item]
+        rows = np.ascontiguousarray(sym[start[:, None] + np.arange(n)])
+        _, first, which = np.unique(rows.view(f"V{4 * n}").ravel(), return_index=True, return_inverse=True)
+        pairs = np.unique(np.stack([which, item_ids[item]], 1), axis=0)
+        out[n] = (rows[first], pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(first) + 1)))
     return Phrases(vocab, out)
 
 
@@ -153,9 +163,12 @@ class FMIndex:
         return out
 
 
-def find_leaks(column, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start char, end char, item ids flat, their offsets) of the merged spans of a shard, by text and place."""
-    nothing = (np.zeros(0, np.int64),) * 4 + (np.zeros(1, np.int64),)
+Hits = tuple[np.ndarray, ...]
+
+
+def find_hits(column, phrases: Phrases) -> Hits:
+    """(text, first word, last word, start char, end char, item) of each phrase of each item that a shard holds."""
+    nothing = (np.zeros(0, np.int64),) * 6
     need = phrases.shortest
     if not need:
         return nothing
@@ -179,66 +192,105 @@ def find_leaks(column, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.nda
         gap = np.zeros(len(word), bool)
         gap[np.cumsum(size) - 1] = True
         zero = chars[offs[doc]]
-        parts.append((at[word] + 1, lo + doc, chars[tok.start[word]] - zero, chars[tok.end[word]] - zero, gap))
+        parts.append((at[word] + 1, lo + doc, word - tok.first[doc], chars[tok.start[word]] - zero, chars[tok.end[word]] - zero, gap))
     if not parts:
         return nothing
-    sym, doc, begin, stop, gap = (np.concatenate(x) for x in zip(*parts, strict=True))
+    sym, doc, word, begin, stop, gap = (np.concatenate(x) for x in zip(*parts, strict=True))
     place = np.arange(len(sym)) + np.concatenate([[0], np.cumsum(gap)[:-1]]) + 1
     s = np.zeros(place[-1] + 2, np.int64)
     s[place] = sym
     back = np.zeros(len(s), np.int64)
     back[place] = np.arange(len(sym))
     index = FMIndex(s, len(phrases.vocab))
-    hits: list[tuple[np.ndarray, ...]] = []
+    hits: list[Hits] = []
     for n, (rows, items, item_offs) in phrases.by_length.items():
         lo, hi = index.search(rows)
         count = hi - lo
         which = np.repeat(np.arange(len(rows)), count)
         row = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + lo[which]
-        first = back[index.locate(row)]
         reps = np.diff(item_offs)[which]
+        first = np.repeat(back[index.locate(row)], reps)
         item = items[np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(item_offs[which], reps)]
-        hits.append((np.repeat(first, reps), np.repeat(first + n - 1, reps), item))
-    first, last, item = (np.concatenate(x) for x in zip(*hits, strict=True))
-    if not len(first):
-        return nothing
-    order = np.lexsort((first, doc[first]))
-    first, last, item = first[order], last[order], item[order]
-    d, b, e = doc[first], begin[first], stop[last]
-    reach = np.maximum.accumulate(last)  # words of a document are numbered on, so one running maximum serves all
-    new = np.ones(len(d), bool)
-    new[1:] = (d[1:] != d[:-1]) | (first[1:] > reach[:-1] + 1) | (b[1:] > stop[reach[:-1]] + 1)
-    span = np.cumsum(new) - 1
-    head = np.flatnonzero(new)
-    end = np.maximum.reduceat(e, head)
+        hits.append((doc[first], word[first], word[first] + n - 1, begin[first], stop[first + n - 1], item))
+    return tuple(np.concatenate(x) for x in zip(*hits, strict=True))
+
+
+def merge_hits(doc, first, last, begin, end, item) -> Hits:
+    """(text, start char, end char, item ids flat, their offsets): hits that overlap or whose words follow each other with one character between, merged; by text and place."""
+    if not len(doc):
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(1, np.int64),)
+    order = np.lexsort((first, doc))
+    doc, first, last, begin, end, item = (x[order] for x in (doc, first, last, begin, end, item))
+    words, chars = int(last.max()) + 3, int(end.max()) + 3
+    reach, stop = np.maximum.accumulate(doc * words + last), np.maximum.accumulate(doc * chars + end)  # one running maximum serves all texts
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] * words + first[1:] > reach[:-1] + 1) | (doc[1:] * chars + begin[1:] > stop[:-1] + 1)
+    span, head = np.cumsum(new) - 1, np.flatnonzero(new)
     pairs = np.unique(np.stack([span, item], 1), axis=0)
-    return d[head], b[head], end, pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(head) + 1))
+    return doc[head], begin[head], np.maximum.reduceat(end, head), pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(head) + 1))
 
 
-def phrase_passes(benchmark: DataFrame, words: int = PHRASE_WORDS) -> list[Phrases]:
-    """The benchmark's phrases, in as many parts as keep each below ``MAX_BENCHMARK_BYTES``."""
+def find_leaks(column, phrases: Phrases) -> Hits:
+    """The merged spans of a shard: as ``merge_hits``."""
+    return merge_hits(*find_hits(column, phrases))
+
+
+def phrase_passes(benchmark: DataFrame, words: int = PHRASE_WORDS) -> tuple[int, Iterator[Phrases]]:
+    """How many parts the benchmark has, each of about ``MAX_BENCHMARK_BYTES`` of whole items or less, and the phrases of each, made as they are asked for."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     passes = max(1, -(-total // MAX_BENCHMARK_BYTES))
-    out = []
-    for k in range(passes):
-        got = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).toArrow()
-        out.append(compile_phrases(np.asarray(got.column("item_id"), dtype=np.int64), got.column("text").to_pylist(), words))
-    return out
 
+    def one(k: int) -> Phrases:
+        got = (items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k) if passes > 1 else items).toArrow()
+        return compile_phrases(np.asarray(got.column("item_id"), dtype=np.int64), got.column("text").combine_chunks(), words)
 
-def leaks(docs: DataFrame, benchmark: DataFrame, words: int = PHRASE_WORDS) -> DataFrame:
-    """(doc_id, start_char, end_char, item_ids): the spans [start, end) of documents' characters that hold benchmark phrases."""
-    out = None
-    for phrases in phrase_passes(benchmark, words):
+    return passes, (one(k) for k in range(passes))
+
+
+def _spans_by_text(docs: DataFrame, passes: Iterator[Phrases]) -> DataFrame:
+    """(h, size, spans): of each distinct text with hits in any pass, known by hash and bytes, the merged spans (start_char, end_char, item_ids). Each pass is written as it is made; hits of
+    equal texts become one before they are gathered, so a group holds one text's."""
+    texts = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL").select("text", F.xxhash64("text").alias("h"), F.octet_length("text").alias("size"))
+    names = ("first", "last", "b", "e", "item")
+    found = None
+    for phrases in passes:
 
         def run(batch: pa.RecordBatch, phrases=phrases):
-            d, b, e, item, offs = find_leaks(batch.column("text"), phrases)
-            yield {"doc_id": batch.column("doc_id").take(pa.array(d)), "start_char": b, "end_char": e, "item_ids": list_array(item, offs.astype(np.int32))}
+            d, *rest = find_hits(batch.column("text"), phrases)
+            take = pa.array(d)
+            yield {"h": batch.column("h").take(take), "size": batch.column("size").take(take), **dict(zip(names, rest, strict=True))}
 
-        part = arrow_map(id_text(docs), run, "doc_id bigint, start_char bigint, end_char bigint, item_ids array<bigint>")
-        out = part if out is None else out.unionByName(part)
-    return out
+        part = materialize(arrow_map(texts, run, "h bigint, size int, " + ", ".join(f"{c} bigint" for c in names)).distinct(), "hits")
+        found = part if found is None else found.unionByName(part)
+    grouped = found.groupBy("h", "size").agg(F.collect_list(F.struct(*names)).alias("hits"))
+
+    def merge(batch: pa.RecordBatch):
+        hits = batch.column("hits")
+        values, offs = hits.flatten(), np.asarray(hits.offsets).astype(np.int64)
+        doc = np.repeat(np.arange(batch.num_rows), np.diff(offs))
+        d, b, e, item, item_offs = merge_hits(doc, *(np.asarray(values.field(k), dtype=np.int64) for k in range(5)))
+        spans = pa.StructArray.from_arrays([pa.array(b), pa.array(e), list_array(item, item_offs.astype(np.int32))], ["start_char", "end_char", "item_ids"])
+        yield {"h": batch.column("h"), "size": batch.column("size"), "spans": list_array(spans, np.searchsorted(d, np.arange(batch.num_rows + 1)).astype(np.int32))}
+
+    return arrow_map(grouped, merge, "h bigint, size int, spans array<struct<start_char: bigint, end_char: bigint, item_ids: array<bigint>>>")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, words: int = PHRASE_WORDS) -> DataFrame:
+    """(doc_id, start_char, end_char, item_ids): the spans [start, end) of documents' characters that hold benchmark phrases. One pass over the benchmark is a map without a shuffle."""
+    n, passes = phrase_passes(benchmark, words)
+    own = id_text(docs)
+    if n > 1:
+        spans = _spans_by_text(docs, passes)
+        keyed = own.select("doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").alias("size"))
+        return keyed.join(spans, ["h", "size"]).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start_char", "s.end_char", "s.item_ids")
+    phrases = next(passes)
+
+    def run(batch: pa.RecordBatch):
+        d, b, e, item, offs = find_leaks(batch.column("text"), phrases)
+        yield {"doc_id": batch.column("doc_id").take(pa.array(d)), "start_char": b, "end_char": e, "item_ids": list_array(item, offs.astype(np.int32))}
+
+    return arrow_map(own, run, "doc_id bigint, start_char bigint, end_char bigint, item_ids array<bigint>")
 
 
 def cut_spans(texts: list, doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> dict[int, str]:
@@ -264,8 +316,6 @@ def replace_texts(batch: pa.RecordBatch, text_at: int, chars_at: int | None, new
     cols = list(batch.columns)
 
     def put(k: int, values: list) -> None:
-        import pyarrow.compute as pc
-
         cols[k] = pc.replace_with_mask(cols[k], pa.array(mask), pa.array(values, cols[k].type))
 
     ordered = [new[i] for i in sorted(new)]
@@ -280,14 +330,28 @@ def chars_column(docs: DataFrame) -> int | None:
 
 
 def strip(docs: DataFrame, benchmark: DataFrame, words: int = PHRASE_WORDS) -> DataFrame:
-    """docs with the leaked spans cut out of text and n_chars brought up to date; every row stays, other columns as they were. One pass, no shuffle."""
+    """docs with the leaked spans cut out of text and n_chars brought up to date; every row stays, other columns as they were. One pass over the benchmark is a map without a shuffle."""
     schema, text_at, chars_at = docs.schema, docs.columns.index("text"), chars_column(docs)
-    for phrases in phrase_passes(benchmark, words):
-
-        def run(batches, phrases=phrases):
+    n, passes = phrase_passes(benchmark, words)
+    if n > 1:
+        h, size, spans = unused(docs, "h", "size", "spans")
+        cuts = _spans_by_text(docs, passes).select(F.col("h").alias(h), F.col("size").alias(size), F.transform("spans", lambda s: F.struct(s["start_char"].alias("b"), s["end_char"].alias("e"))).alias(spans))
+        text = docs["text"].cast("string")
+        joined = docs.join(cuts, (F.xxhash64(text) == cuts[h]) & (F.octet_length(text) == cuts[size]), "left").drop(h, size)
+
+        def cut(batches):
             for batch in batches:
-                d, b, e, _, _ = find_leaks(batch.column(text_at), phrases)
-                yield replace_texts(batch, text_at, chars_at, cut_spans(batch.column(text_at), d, b, e))
+                marks, plain = batch.columns[-1], pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1]))
+                values, lengths = marks.flatten(), np.nan_to_num(np.asarray(pc.list_value_length(marks), dtype=float)).astype(np.int64)
+                b, e = (np.asarray(values.field(k), dtype=np.int64) for k in (0, 1))
+                yield replace_texts(plain, text_at, chars_at, cut_spans(plain.column(text_at), np.repeat(np.arange(len(lengths)), lengths), b, e))
+
+        return map_batches(joined, cut, schema)
+    phrases = next(passes)
+
+    def run(batches):
+        for batch in batches:
+            d, b, e, _, _ = find_leaks(batch.column(text_at), phrases)
+            yield replace_texts(batch, text_at, chars_at, cut_spans(batch.column(text_at), d, b, e))
 
-        docs = map_batches(docs, run, schema)
-    return docs
+    return map_batches(docs, run, schema)

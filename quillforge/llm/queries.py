@@ -77,5 +77,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-#: None of the ten can be said in SQL: each is tested against brute force, round trips or held-out accuracy.
-ORACLES: dict[str, str] = {}
+#: Whole benchmark items as runs of words joined to the documents' runs. The others can't be said in SQL: each is tested against brute force, a library, round trips or held-out accuracy.
+_OP10 = r"""WITH texts AS (SELECT 0 AS kind, doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL UNION ALL SELECT 1, item_id, text FROM benchmark WHERE item_id IS NOT NULL),
+ runs AS (SELECT kind, id, row_number() OVER (PARTITION BY kind, id) AS copy, regexp_extract_all(text, '[\p{L}\p{N}\p{M}]+|[^\p{L}\p{N}\p{M}]+') AS r FROM texts),
+ cells AS (SELECT kind, id, copy, unnest(r) AS x, unnest(range(len(r))) AS k FROM runs),
+ placed AS (SELECT *, sum(length(x)) OVER (PARTITION BY kind, id, copy ORDER BY k) AS stop FROM cells),
+ words AS (SELECT kind, id, copy, lower(x) AS w, CAST(stop - length(x) AS BIGINT) AS b, CAST(stop AS BIGINT) AS e, row_number() OVER (PARTITION BY kind, id, copy ORDER BY k) AS p FROM placed WHERE regexp_matches(x, '^[\p{L}\p{N}\p{M}]')),
+ ahead AS (SELECT kind, id, copy, p, b, lead(e, 4) OVER s AS e5, lead(e, 5) OVER s AS e6, lead(e, 6) OVER s AS e7, lead(e, 7) OVER s AS e8, count(*) OVER (PARTITION BY kind, id, copy) AS n,
+   concat_ws(' ', w, lead(w, 1) OVER s, lead(w, 2) OVER s, lead(w, 3) OVER s, lead(w, 4) OVER s) AS g5, lead(w, 5) OVER s AS w6, lead(w, 6) OVER s AS w7, lead(w, 7) OVER s AS w8
+   FROM words WINDOW s AS (PARTITION BY kind, id, copy ORDER BY p)),
+ grams AS (SELECT kind, id, copy, p, b, z.size AS size, n, CASE z.size WHEN 5 THEN e5 WHEN 6 THEN e6 WHEN 7 THEN e7 ELSE e8 END AS e,
+   CASE z.size WHEN 5 THEN g5 WHEN 6 THEN g5 || ' ' || w6 WHEN 7 THEN g5 || ' ' || w6 || ' ' || w7 ELSE g5 || ' ' || w6 || ' ' || w7 || ' ' || w8 END AS g FROM ahead, (SELECT unnest([5, 6, 7, 8]) AS size) z),
+ phrases AS (SELECT DISTINCT id AS item, size, g FROM grams WHERE kind = 1 AND e IS NOT NULL AND g IS NOT NULL AND size = least(n, 8)),
+ hits AS (SELECT d.id, d.copy, d.p AS first, d.p + d.size - 1 AS last, d.b, d.e, q.item FROM grams d JOIN phrases q ON d.g = q.g AND d.size = q.size WHERE d.kind = 0 AND d.e IS NOT NULL),
+ marked AS (SELECT *, CASE WHEN first > max(last) OVER w + 1 OR b > max(e) OVER w + 1 THEN 1 ELSE 0 END AS fresh FROM hits WINDOW w AS (PARTITION BY id, copy ORDER BY first, last, item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ spans AS (SELECT *, sum(fresh) OVER (PARTITION BY id, copy ORDER BY first, last, item) AS k FROM marked)
+SELECT id AS doc_id, min(b) AS start_char, max(e) AS end_char, list(DISTINCT item ORDER BY item) AS item_ids FROM spans GROUP BY id, copy, k"""
+
+ORACLES: dict[str, str] = {"op10_decontaminate": _OP10}

@@ -98,13 +98,21 @@ def test_strip_and_edges(spark, docs):
     assert D.leaks(t, b.limit(0)).count() == 0 and D.strip(t, b.limit(0)).count() == len(rows) and D.strip(docs([]), b).count() == 0
 
 
-def test_several_passes_find_the_same(spark, docs, monkeypatch):
+def test_several_passes_give_the_same_rows(spark, docs, monkeypatch):
     rows, items = case(7)
-    chars = lambda: {(r.doc_id, c) for r in D.leaks(docs(rows), bench(spark, items)).collect() for c in range(r.start_char, r.end_char)}
-    whole = chars()
-    monkeypatch.setattr(D, "MAX_BENCHMARK_BYTES", 300)
-    texts = dict(rows)
-    assert {x for x in whole if texts[x[0]][x[1]].isalnum()} == {x for x in chars() if texts[x[0]][x[1]].isalnum()}
+    rows += [rows[1], (None, rows[3][1]), (70, None), (71, "")]
+    a = [f"a{x}" for x in "bcdefghijklm"]
+    items += [" ".join(a), " ".join(a[-4:] + ["bba", "bbb", "bbc", "bbd"])]  # the end of one is the beginning of the next
+    rows.append((99, "start " + " ".join(a + ["bba", "bbb", "bbc", "bbd"]) + " end"))
+    t = docs(rows)
+    leaks = lambda: sorted((r.doc_id, r.start_char, r.end_char, tuple(r.item_ids)) for r in D.leaks(t, bench(spark, items)).collect())
+    strip = lambda: sorted(map(str, D.strip(t, bench(spark, items)).collect()))
+    whole, cut = leaks(), strip()
+    assert any("text='start  end'" in x for x in cut) and len(whole) > 20
+    for limit in (300, 40):
+        monkeypatch.setattr(D, "MAX_BENCHMARK_BYTES", limit)
+        assert D.phrase_passes(bench(spark, items))[0] > 1
+        assert leaks() == whole and strip() == cut
 
 
 def test_scripts_without_spaces_and_typography(spark, docs):
