@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import arrow_map, id_text, list_array, map_batches
+from .common import arrow_map, id_text, list_array, map_batches, materialize
 
 #: Bound on the labelled rows of each class that the model is fitted on, drawn by a hash of the id.
 MAX_LABELLED_PER_CLASS = 6000
@@ -121,65 +121,62 @@ def fit_cumulative(x_col, x_val, indptr, grade, n_features, n_grades=3, l1=1e-3,
     return w, theta
 
 
-def _frequent(h: np.ndarray, n: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes that ``MIN_DOCS`` texts have, and for each of their places the number of the hash, the text, the count): the others are left out piece by piece, so the driver holds little."""
-    s = np.sort(h)
-    begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
-    words = s[begin[np.diff(np.append(begin, len(s))) >= MIN_DOCS]]
-    del s, begin
-    parts = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, n.dtype))]
-    for lo in range(0, len(h) if len(words) else 0, 1 << 20):
-        part = h[lo : lo + (1 << 20)]
-        at = np.minimum(np.searchsorted(words, part), len(words) - 1)
-        ok = np.flatnonzero(words[at] == part)
-        parts.append((at[ok].astype(np.int32), (np.searchsorted(first, ok + lo, "right") - 1).astype(np.int32), n[lo : lo + (1 << 20)][ok]))
-    col, row, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return words, col, row, count
+def _screened(rows: DataFrame, n_toxic: int, n_clean: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, log-odds of toxic to clean) of the features that ``MIN_DOCS`` texts have and whose odds reach ``SCREEN_ODDS``; counted by the executors, so the driver gets only these."""
+
+    def run(batch: pa.RecordBatch):
+        toxic = np.asarray(batch.column("toxic"), dtype=np.int64)
+        for lo, hi, data, offs in tk.slices(batch.column("text")):
+            d, h, _ = feature_counts(data, offs)
+            u, at = np.unique(h, return_inverse=True)
+            one = np.bincount(at, toxic[lo:hi][d], minlength=len(u)).astype(np.int64)
+            yield {"h": u.view(np.int64), "df1": one, "df": np.bincount(at, minlength=len(u))}
+
+    per = arrow_map(rows, run, "h bigint, df1 bigint, df bigint").groupBy("h").agg(F.sum("df1").alias("df1"), F.sum("df").alias("df")).where(F.col("df") >= MIN_DOCS)
+    odds = F.log((F.col("df1") + 0.5) / (n_toxic + 1)) - F.log((F.col("df") - F.col("df1") + 0.5) / (n_clean + 1))
+    got = per.select("h", odds.alias("odds")).where(F.abs("odds") >= SCREEN_ODDS).toArrow()
+    h = np.asarray(got.column("h"), dtype=np.int64).view(np.uint64)
+    by = np.argsort(h)
+    return h[by], np.asarray(got.column("odds"), dtype=float)[by]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled_per_class: int = MAX_LABELLED_PER_CLASS) -> OrdinalModel:
-    """Fit on at most ``max_labelled_per_class`` labelled rows of each class (those with the least hash of their id)."""
+    """Fit on at most ``max_labelled_per_class`` labelled rows of each class (those with the least hash of their id). Features are counted and screened on the executors; only the screened ones of each text reach the driver."""
     lab = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = None
     for c in (0, 1):
         part = lab.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled_per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = id_text(docs).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    rows = materialize(id_text(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"), "labelled")
+    size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if len(size) < 2:
+        return OrdinalModel()
+    words, odds = _screened(rows, size[1], size[0])
+    sent = rows.sparkSession.sparkContext.broadcast(words)
 
     def counts(batch: pa.RecordBatch):
+        words = sent.value
         for lo, hi, data, offs in tk.slices(batch.column("text")):
             d, h, c = feature_counts(data, offs)
-            first = np.searchsorted(d, np.arange(hi - lo + 1))
-            yield {"toxic": batch.column("toxic").slice(lo, hi - lo), "h": list_array(h.view(np.int64), first), "n": list_array(c.astype(np.int32), first)}
-
-    got = arrow_map(rows, counts, "toxic int, h array<bigint>, n array<int>").toArrow()
-    toxic = np.asarray(got.column("toxic").combine_chunks(), dtype=np.int64) if got.num_rows else np.zeros(0, np.int64)
-    if len(set(toxic.tolist())) < 2:
-        return OrdinalModel()
-    lists = got.column("h").combine_chunks()
-    first = np.asarray(lists.offsets)
-    h, n = np.asarray(lists.values).view(np.uint64), np.asarray(got.column("n").combine_chunks().values)
-    del got, lists
-    words, col, row, n = _frequent(h, n, first)
-    del h
-    df1 = np.bincount(col, toxic[row] == 1, minlength=len(words))
-    df0 = np.bincount(col, minlength=len(words)) - df1
-    keep = df0 + df1 >= MIN_DOCS
-    odds = np.log((df1 + 0.5) / (toxic.sum() + 1)) - np.log((df0 + 0.5) / ((1 - toxic).sum() + 1))
-    keep &= np.abs(odds) >= SCREEN_ODDS
-    use = keep[col]
-    words, place = words[keep], np.cumsum(keep) - 1
-    hits = np.bincount(row, n * ((odds[col] > LEXICON_ODDS) & use), minlength=len(toxic))
+            at = np.minimum(np.searchsorted(words, h), max(len(words) - 1, 0))
+            ok = np.flatnonzero(words[at] == h) if len(words) else np.zeros(0, np.int64)
+            first = np.searchsorted(d[ok], np.arange(hi - lo + 1))
+            yield {"toxic": batch.column("toxic").slice(lo, hi - lo), "col": list_array(at[ok].astype(np.int32), first), "n": list_array(c[ok].astype(np.int32), first)}
+
+    got = arrow_map(rows, counts, "toxic int, col array<int>, n array<int>").toArrow()
+    toxic = np.asarray(got.column("toxic"), dtype=np.int64)
+    lists = got.column("col").combine_chunks()
+    first, x_col, n = np.asarray(lists.offsets), np.asarray(lists.values, dtype=np.int64), np.asarray(got.column("n").combine_chunks().values, dtype=np.int64)
+    row = np.repeat(np.arange(len(toxic)), np.diff(first))
+    hits = np.bincount(row, n * (odds[x_col] > LEXICON_ODDS), minlength=len(toxic))
     grade = np.where(toxic == 1, 1 + (hits > np.median(hits[toxic == 1])), 0).astype(np.int64)
-    order = np.flatnonzero(use)
-    indptr = np.searchsorted(row[order], np.arange(len(toxic) + 1))
-    x_col, x_val, x_row = place[col[order]], np.log1p(n[order]), row[order]
-    w, _ = fit_cumulative(x_col, x_val, indptr, grade, len(words), l1=1e-4)
+    x_val = np.log1p(n)
+    w, _ = fit_cumulative(x_col, x_val, first, grade, len(words), l1=1e-4)
     some = w != 0  # the penalty chose the features; a lighter one sets their weights
     left = some[x_col]
-    indptr = np.searchsorted(x_row[left], np.arange(len(toxic) + 1))
+    indptr = np.searchsorted(row[left], np.arange(len(toxic) + 1))
     w, theta = fit_cumulative((np.cumsum(some) - 1)[x_col[left]], x_val[left], indptr, grade, int(some.sum()), l1=5e-5)
-    return OrdinalModel(words[some], w, theta)
+    return OrdinalModel(words[some], w, np.maximum(theta, [1e-3, 2e-3]))  # without evidence a text is clean
 
 
 def raw_scores(model: OrdinalModel, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -210,15 +207,16 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, reject_at: float = REJEC
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, reject_at: float = REJECT_AT) -> DataFrame:
-    """docs without the rejected ones, all columns as they were. A row without an id or a text stays. Rows that are equal stay or go alike. One pass: the
+    """docs without the rejected ones, all columns as they were. A row without an id stays, whatever its text; so does one without a word. Rows that are equal stay or go alike. One pass: the
     rows go through Arrow whole, so nothing is joined or shuffled."""
-    model, schema, text_at = fit(docs, labels), docs.schema, docs.columns.index("text")
+    model, schema, text_at, id_at = fit(docs, labels), docs.schema, docs.columns.index("text"), docs.columns.index("doc_id")
 
     def run(batches):
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             for lo, hi, data, offs in tk.slices(batch.column(text_at).cast(pa.string())):
                 keep[lo:hi] = model.at_least(raw_scores(model, data, offs))[:, 0] < reject_at
+            keep |= np.asarray(batch.column(id_at).is_null())
             yield batch.filter(pa.array(keep))
 
     return map_batches(docs, run, schema)
