@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .bpe import Merges
-from .common import arrow_map, list_array, map_batches, materialize
+from .common import arrow_map, list_array, map_batches, materialize, unused
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 FOLD_CHARS = 61
@@ -343,9 +343,10 @@ def encode(docs: DataFrame, model: PieceModel, limit: int = DICTIONARY_BYTES, de
     d, others = split_dictionary(coded, limit)
     sent = spark.sparkContext.broadcast((d.keys, d.first, d.ids))
     text_at, partial = plain.columns.index("text"), others is not None
+    row, lost, met = unused(plain, "row", "lost", "met")
     schema = StructType(plain.schema.fields[:]).add("piece_ids", ArrayType(IntegerType()))
     if partial:
-        schema.add("__lost", ArrayType(LongType()))
+        schema.add(lost, ArrayType(LongType()))
     at_once = decoded and not partial
     if at_once:
         schema.add("decoded", StringType())
@@ -371,12 +372,12 @@ def encode(docs: DataFrame, model: PieceModel, limit: int = DICTIONARY_BYTES, de
     rows = map_batches(plain, run, schema)
     if not partial:
         return rows
-    rows = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "coded")
-    want = rows.where(F.size("__lost") > 0).select("__row", F.posexplode("__lost").alias("k", "h"))
-    found = want.join(others.withColumnRenamed("ids", "__ids"), "h").groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("k", "__ids"))).alias("__found"))
-    filled = F.flatten(F.transform("piece_ids", lambda i: F.when(i < 0, F.get("__found", -1 - i)["__ids"]).otherwise(F.array(i))))
-    joined = rows.join(found, "__row", "left")
-    out = joined.withColumn("piece_ids", F.when(F.col("__found").isNull(), F.col("piece_ids")).otherwise(filled)).select(*[F.col(f"`{c}`") for c in plain.columns], "piece_ids")
+    rows = materialize(rows.withColumn(row, F.monotonically_increasing_id()), "coded")
+    want = rows.where(F.size(lost) > 0).select(row, F.posexplode(lost).alias("k", "h"))
+    found = want.join(others, "h").groupBy(row).agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias(met))
+    filled = F.flatten(F.transform("piece_ids", lambda i: F.when(i < 0, F.get(met, -1 - i)["ids"]).otherwise(F.array(i))))
+    joined = rows.join(found, row, "left")
+    out = joined.withColumn("piece_ids", F.when(F.col(met).isNull(), F.col("piece_ids")).otherwise(filled)).select(*[F.col(f"`{c}`") for c in plain.columns], "piece_ids")
     return decode(out, model) if decoded else out
 
 

@@ -28,6 +28,8 @@ def test_is_the_librarys_encoding(docs, limit):
     assert out.columns == [*t.columns, "piece_ids", "decoded"]
     rows = out.collect()
     assert len(rows) == t.count()
+    others = [c for c in t.columns if c != "text"]  # among them those of the names used inside
+    assert sorted(str([r[c] for c in others]) for r in rows) == sorted(str([r[c] for c in others]) for r in t.collect())
     for r in rows:
         assert r.piece_ids == lib.encode(r.text)
         assert r.decoded == r.text.replace("▁", " ")
