@@ -5,7 +5,8 @@ that write at least ``SCRIPT_SHARE`` of their words in that script, or, for a sc
 own. Within a script, a word's score under a language is its log-probability under a byte-trigram model; numbers fit any language. Viterbi over a document's
 words with a penalty for each switch of language gives every word a label, and equal neighbours form spans.
 
-The trigram model is fitted on at most ``MAX_DOCS_PER_LANGUAGE`` labelled documents of each language (those with the least hash of their id).
+The trigram model is fitted on at most ``MAX_DOCS_PER_LANGUAGE`` labelled documents of each language (those with the least hash of their id). Any number of languages
+may be trained; each takes 1 MiB of the model.
 
 Defined results: NULL or empty texts, and texts without a word, give one row with a NULL language and no words; rows without an id are kept
 under a NULL id; repeated rows each give their spans; ties go to the language that is first by name; without any labelled
@@ -91,13 +92,24 @@ def trigram_slots(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[
     return ((code * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS)).astype(np.int64), first
 
 
-def fit(docs: DataFrame, max_docs: int = MAX_DOCS_PER_LANGUAGE) -> LanguageModel:
-    from pyspark.sql import Window
+def _sample_cuts(hashed: DataFrame, k: int) -> DataFrame:
+    """(lang, cut): the k-th least distinct hash of each language of hashed (lang, u), or its greatest. A row goes to the driver only where its hash is below what about 2 k of its language's rows
+    are expected under, so that is bounded whatever the table's size; the number of languages is that of the model."""
+    span = float(1 << 63)
+    counts = hashed.groupBy("lang").agg(F.count("*").alias("n")).withColumn("below", F.when(F.col("n") > 2 * k + 1000, (2 * k + 1000) / F.col("n") * span * 2 - span).otherwise(span))
+    low = hashed.join(F.broadcast(counts), "lang").where(F.col("u").cast("double") <= F.col("below")).select("lang", "u").distinct().toArrow()
+    lang, u = np.array(low.column("lang").to_pylist(), dtype=object), np.asarray(low.column("u"), dtype=np.int64)
+    names = sorted(set(lang.tolist()))
+    cuts = [int(np.sort(u[lang == x])[:k][-1]) for x in names]
+    return hashed.sparkSession.createDataFrame(list(zip(names, cuts, strict=True)), "lang string, cut bigint")
+
 
+def fit(docs: DataFrame, max_docs: int = MAX_DOCS_PER_LANGUAGE) -> LanguageModel:
+    """Fit on at most ``max_docs`` documents of each language, those with the least hash of their id, found without a sort or a window by language."""
     lab = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    chosen = lab.select("doc_id", "lang").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("k") <= max_docs)
-    chosen = chosen.select("doc_id", "lang").distinct()
-    rows = lab.join(F.broadcast(chosen), ["doc_id", "lang"])
+    cuts = _sample_cuts(lab.select("lang", F.xxhash64("doc_id").alias("u")), max_docs)
+    chosen = lab.join(F.broadcast(cuts), "lang").where(F.xxhash64("doc_id") <= F.col("cut"))
+    rows = chosen.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))  # rows that repeat an id count once
 
     def counts(batch: pa.RecordBatch):
         langs = np.array(batch.column("lang").to_pylist())
@@ -173,7 +185,8 @@ def emissions(model: LanguageModel, data: np.ndarray, offs: np.ndarray) -> tuple
 def viterbi(e: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The best state of each word: all documents step together, the longest first, so that those still running stay in front."""
     n_words = len(e)
-    out = np.zeros(n_words, np.uint8)
+    kind = np.min_scalar_type(max(e.shape[1] - 1, 0))
+    out = np.zeros(n_words, kind)
     if not n_words:
         return out
     size = np.diff(first)
@@ -181,8 +194,8 @@ def viterbi(e: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.ndar
     order = order[size[order] > 0]
     base, size = first[:-1][order], size[order]
     running = np.searchsorted(-size, -np.arange(size[0]), "left")  # documents with more than t words
-    back = np.zeros(e.shape, np.uint8)
-    own = np.arange(e.shape[1], dtype=np.uint8)[None, :]
+    back = np.zeros(e.shape, kind)
+    own = np.arange(e.shape[1], dtype=kind)[None, :]
     v = e[base].astype(np.float64)
     for t in range(1, size[0]):
         n = running[t]
@@ -191,9 +204,9 @@ def viterbi(e: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.ndar
         best = w.argmax(1)
         top = w[np.arange(n), best][:, None] - switch
         stay = w >= top
-        back[at] = np.where(stay, own, best[:, None].astype(np.uint8))
+        back[at] = np.where(stay, own, best[:, None].astype(kind))
         v[:n] = np.where(stay, w, top) + e[at]
-    state = v.argmax(1).astype(np.uint8)
+    state = v.argmax(1).astype(kind)
     for t in range(size[0] - 1, -1, -1):
         n = running[t]
         at = base[:n] + t

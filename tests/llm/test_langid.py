@@ -79,3 +79,54 @@ def test_scripts_without_spaces(spark):
     for r in langid.spans(rows, model).orderBy("doc_id", "span_no").collect():
         got.setdefault(r.doc_id, []).append(r.lang)
     assert got == {0: ["ja"], 1: ["zh"], 2: ["th"], 3: ["en", "zh"]}
+
+
+def test_more_labels_than_a_byte_holds():
+    e = np.full((6, 300), -50.0, np.float32)
+    e[:3, 290] = e[3:, 7] = 0.0
+    assert langid.viterbi(e, np.array([0, 6]), 1.0).tolist() == [290] * 3 + [7] * 3
+
+
+def test_sample_is_the_least_hashes(spark):
+    """Of a language that holds nearly all rows as of one with few; no plan here sorts or windows by language."""
+    t = spark.range(20_000).selectExpr("CASE WHEN id % 500 = 0 THEN 'few' ELSE 'most' END AS lang", "xxhash64(id) AS u")
+    rows: dict[str, list[int]] = {}
+    for r in t.collect():
+        rows.setdefault(r.lang, []).append(r.u)
+    cuts = langid._sample_cuts(t.unionByName(t), 60)
+    assert "Window" not in cuts._jdf.queryExecution().toString()
+    assert {r.lang: r.cut for r in cuts.collect()} == {"few": max(rows["few"]), "most": sorted(rows["most"])[59]}
+
+
+def test_ties_go_to_the_first_language(spark):
+    t = spark.createDataFrame([(1, EN, "zz"), (2, EN, "aa"), (3, FR, "mm"), (3, FR, "mm")], "doc_id bigint, text string, lang string")
+    got = langid.spans(spark.createDataFrame([(1, EN), (2, FR)], "doc_id bigint, text string"), langid.fit(t)).collect()
+    assert {r.doc_id: r.lang for r in got} == {1: "aa", 2: "mm"}
+
+
+def test_scores_by_brute_force(spark):
+    """Word scores from dictionaries of trigram counts; scripts from the ranges."""
+    model = langid.fit(table(spark))
+    slot = lambda g: ((g[0] << 16 | g[1] << 8 | g[2]) * 0x9E3779B1 % (1 << 32)) >> (32 - langid.SLOT_BITS)
+    grams = lambda w: [slot(x) for x in zip(*((f"  {w} ".encode())[k:] for k in range(3)), strict=False)]
+    count: dict[str, dict[int, int]] = {"en": {}, "fr": {}}
+    for r in table(spark).collect():
+        for w in r.text.lower().split():
+            for g in grams(w):
+                count[r.lang][g] = count[r.lang].get(g, 0) + 1
+    logp = lambda lang, g: np.log((count[lang].get(g, 0) + langid.SMOOTH) / (sum(count[lang].values()) + langid.SMOOTH * (1 << langid.SLOT_BITS)))
+    ws = ["The", "nous", "zebra", "a", "мир", "42", "x1"]
+    data, offs = langid.tk.string_buffers(pa.array([" ".join(ws)]))
+    _, e, used, known = langid.emissions(model, data, offs)
+    columns = [model.states[k] for k in np.flatnonzero(used)]
+    assert known.tolist() == [True] * 5 + [False, True] and columns == ["en", "fr", "und-Cyrl"]
+    for w, got in zip(ws, e, strict=True):
+        if w == "42":
+            want = [0.0] * 3
+        elif w == "мир":
+            want = [langid.FAR, langid.FAR, 0.0]
+        else:
+            s = [sum(logp(lang, g) for g in grams(w.lower())) for lang in ("en", "fr")]
+            want = [s[0] - max(s), s[1] - max(s), langid.FAR]
+        want, can = np.array(want), np.array(want) > langid.FAR
+        assert np.allclose(want[can], got[can], atol=1e-2) and (got[~can] < langid.FAR / 2).all(), w
