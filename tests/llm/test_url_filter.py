@@ -55,7 +55,8 @@ def brute(train, url, label=None, order=U.ORDER, alpha=U.ALPHA):
 def test_likelihoods_against_string_counts(spark):
     rows = [(u, int(i % 3 == 0)) for i, u in urls(40)]
     t = spark.createDataFrame(rows, "url string, label int")
-    table = U.gather(t)
+    table, others = U.gather(t)
+    assert others is None
     ask = ["https://news.example.org/a1", "http://casino-win.example.com/play", "z"]
     got, _ = U.log_likelihoods(pa.array(ask), table)
     for u, g in zip(ask, got, strict=True):
@@ -86,7 +87,7 @@ def test_edges(spark):
 def test_counts_grow_with_the_table(spark):
     rng = random.Random(1)
     some = lambda n: [("https://a.example/" + "".join(rng.choice("abcdefghijklmnop") for _ in range(30)), 0) for _ in range(n)]
-    small, large = (len(U.gather(spark.createDataFrame(some(n), "url string, label int"))[0]) for n in (50, 400))
+    small, large = (len(U.gather(spark.createDataFrame(some(n), "url string, label int"))[0].keys) for n in (50, 400))
     assert large > 3 * small
 
 
@@ -109,3 +110,50 @@ def test_few_rejected_urls_are_enough(spark):
     few = t.where("page_id < 1000 OR pmod(xxhash64(11, url), 5) <> 0").where("page_id < 1030")
     got = U.score(few.unionByName(few)).collect()
     assert any(r.page_id >= 1000 for r in got) and np.mean([r.rejected == (r.page_id >= 1000) for r in got]) > 0.97
+
+
+def test_any_bound_of_the_model_gives_the_same_scores(spark):
+    rows = urls(90) + [(200, None), (201, ""), (None, "https://news.example.org/x"), (1, urls(90)[1][1])]
+    t = spark.createDataFrame(rows, "page_id bigint, url string")
+    got = [sorted(map(str, U.score(t, limit=limit).collect())) for limit in (U.MODEL_BYTES, 20_000, 0)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+    _, others = U.gather(t.selectExpr("url", "0 AS label").where("url <> ''"), limit=0)
+    assert others.count() > 300
+
+
+def test_decisions_by_brute_force(spark):
+    """Scores by counted strings, each URL less all its copies, and a logistic curve fitted by plain gradient steps."""
+    rows = urls(45)
+    rows += [(100, rows[0][1]), (101, rows[1][1])]
+    t = spark.createDataFrame(rows, "page_id bigint, url string")
+    labelled = [(u, int("casino" in u or "bets" in u or "pills" in u)) for _, u in rows]
+    copies = Counter(u for _, u in rows)
+
+    def scored(u, y, n):
+        rest = [x for x in labelled if x[0] != u] + [(u, y)] * (copies[u] - n)
+        ll = brute(rest, u)
+        return (ll[1] - ll[0]) / (len(u) + 2)
+
+    seen = Counter()
+    for u, y in set(labelled):
+        seen[(round(scored(u, y, copies[u]), 2), y)] += copies[u]
+    x, y, n = (np.array(c, float) for c in zip(*[(*k, c) for k, c in seen.items()], strict=True))
+    ones, zeros = (n * y).sum(), (n * (1 - y)).sum()
+    target = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (zeros + 2))
+    a = b = 0.0
+    for _ in range(200_000):
+        e = n * (target - 1 / (1 + np.exp(-(a * x + b))))
+        a, b = a + 0.05 * (e * x).sum() / n.sum() * 10, b + 0.05 * e.sum() / n.sum() * 10
+    for r in U.score(t).collect():
+        u = dict(rows)[r.page_id]
+        s = scored(u, dict(labelled)[u], 1)
+        assert abs(r.score - s) < 1e-9
+        p = 1 / (1 + math.exp(-(a * s + b)))
+        assert abs(r.p_reject - p) < 2e-2 and (abs(p - 0.5) < 0.05 or r.rejected == (p >= 0.5))
+
+
+def test_a_table_of_hosts(spark):
+    rows = [(i, u.replace("casino-win", "x1").replace("free-bets", "x2").replace("cheap-pills", "x1")) for i, u in urls(150)]
+    hosts = spark.createDataFrame([("WWW.x1.example.com",), ("www.x2.example.com",), ("www.x2.example.com",), (None,)], "host string")
+    got = U.score(spark.createDataFrame(rows, "page_id bigint, url string"), blocklist=hosts).collect()
+    assert len(got) == 150 and np.mean([r.rejected == (r.page_id % 3 == 0) for r in got]) > 0.97
