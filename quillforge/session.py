@@ -12,6 +12,9 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch, instead of Spark's own 64 MiB: what an executor and its Python workers hold of a table at once.
+BATCH_BYTES = 4 << 20
+_BATCH, _DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 
 
 def _packed() -> bytes:
@@ -25,8 +28,10 @@ def _packed() -> bytes:
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application: they needn't have it installed. The archive lies in the folder that spark.checkpoint.dir
-    names; where that is unset, as in tests on one machine, in a temporary one."""
+    names; where that is unset, as in tests on one machine, in a temporary one. Arrow batches become smaller unless the session sets their bytes."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH, "").rstrip("b") in ("", str(_DEFAULT_BATCH), "64m"):
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
     if sc.applicationId in _shipped:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,6 +43,8 @@ def ship(spark: SparkSession) -> None:
             stream.write(bytearray(_packed()))
         finally:
             stream.close()
+    elif not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     else:
         path = os.path.join(tempfile.mkdtemp(prefix="quillforge-ship-"), "quillforge_pkg.zip")
         Path(path).write_bytes(_packed())
