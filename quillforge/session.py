@@ -30,7 +30,7 @@ def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application: they needn't have it installed. The archive lies in the folder that spark.checkpoint.dir
     names; where that is unset, as in tests on one machine, in a temporary one. Arrow batches become smaller unless the session sets their bytes."""
     sc = spark.sparkContext
-    if spark.conf.get(_BATCH, "").rstrip("b") in ("", str(_DEFAULT_BATCH), "64m"):
+    if spark.conf.get(_BATCH, "64m") in ("64m", f"{_DEFAULT_BATCH}b"):
         spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
     if sc.applicationId in _shipped:
         return
