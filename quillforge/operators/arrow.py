@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -30,10 +31,6 @@ def flat_map(df: DataFrame, fn: Callable[[Row], Iterable[Row]], schema: str, row
 
 
 def per_group(df: DataFrame, keys: list[str], fn: Callable[[list[Row]], Iterable[Row]], schema: str) -> DataFrame:
-    """Rows of ``schema`` from all rows of a group, a document as a rule."""
-    target = _target(schema)
-
-    def run(table: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist(list(fn(table.to_pylist())), schema=target)
-
-    return df.groupBy(*keys).applyInArrow(run, schema)
+    """Rows of ``schema`` from all rows of a group, a document as a rule, in no certain order. Groups are gathered by Spark and go to Python many at a time, as small ones cost more apart."""
+    rows = df.groupBy(*keys).agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("__rows"))
+    return flat_map(rows.select("__rows"), lambda r: fn(r["__rows"]), schema)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from statistics import median
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +12,13 @@ from .arrow import per_group
 BOX = ("x1", "y1", "x2", "y2")
 #: Lines go to the first class of this order that holds them.
 CLASS_ORDER = ("title", "caption", "figure", "table", "equation", "text")
-DEFAULT_FONT_SIZE, DEFAULT_FONT_WEIGHT, MODE_PAGES = 10, 350, 5
+TEXT_CLASSES = ("text", "title", "caption", "table")
+DEFAULT_FONT_SIZE, DEFAULT_FONT_WEIGHT, MODE_PAGES, UNKNOWN_SIZE = 10, 350, 5, 1.0
+MIN_SPAN_CHARS = 4
+#: Layout in two dimensions: multipliers of a character's width and height, what a conflict takes off them and how far at most; columns that may overlap, and characters from which a line breaks.
+WIDE, HIGH, SHRINK, LEAST_WIDE, LEAST_HIGH = 0.9, 1.1, 0.1, 0.7, 0.5
+CONFLICT, TOLERANCE = 2, 8
+SPARSE, NARROW, NARROW_SHARE = 0.5, 0.6, 0.15
 
 
 def box(prefix: str = "") -> list[Column]:
@@ -56,8 +61,9 @@ def is_valid_box(b: list[Column]) -> Column:
 
 
 def is_valid_span(b: list[Column], text: Column) -> Column:
-    """Wider than high, or of at most two characters."""
-    return F.when(b[3] - b[1] > 0, (b[2] - b[0]) / (b[3] - b[1]) > 1).otherwise(False) | (F.length(F.trim(text)) <= 2)
+    """With width, height and text, and wider than high unless it has fewer than four characters."""
+    w, h = b[2] - b[0], b[3] - b[1]
+    return F.coalesce((w > 0) & (h > 0) & (F.length(text) > 0) & ((F.try_divide(w, h) > 1) | (F.length(text) < MIN_SPAN_CHARS)), F.lit(False))
 
 
 def union_box(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -74,15 +80,18 @@ def _pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(r, cond)
 
 
+def _class_rank(name: str) -> Column:
+    return F.coalesce(*[F.when(F.col(name) == c, F.lit(k)) for k, c in enumerate(CLASS_ORDER)], F.lit(len(CLASS_ORDER)))
+
+
 def assign_lines(lines: DataFrame, blocks: DataFrame, keys: list[str], line_id: str, least: float = 0.3) -> DataFrame:
-    """(keys, line_id, block_id): each line's block, the first by class and number of those that cover more than ``least`` of it."""
-    rank = F.coalesce(*[F.when(F.col("b_class") == c, F.lit(k)) for k, c in enumerate(CLASS_ORDER)], F.lit(len(CLASS_ORDER)))
-    hit = _pairs(lines, blocks, keys).where(overlap_ratio(box("b_"), box()) > least)
-    return hit.groupBy(*keys, line_id).agg(F.min_by("b_block_id", F.struct(rank, F.col("b_block_id"))).alias("block_id"))
+    """(keys, line_id, block_id): each line's block, the first by class and number of those that cover more than ``least`` of it. Lines that reach out of the page, or have no area, have none."""
+    hit = _pairs(lines.where(is_valid_box(box())), blocks, keys).where(overlap_ratio(box("b_"), box()) > least)
+    return hit.groupBy(*keys, line_id).agg(F.min_by("b_block_id", F.struct(_class_rank("b_class"), F.col("b_block_id"))).alias("block_id"))
 
 
 def leftover_lines(lines: DataFrame, blocks: DataFrame, keys: list[str], line_id: str, least: float = 0.3) -> DataFrame:
-    """Lines that no block covers by more than ``least``."""
+    """Lines that no block takes: those that none covers by more than ``least`` and those out of the page."""
     return lines.join(assign_lines(lines, blocks, keys, line_id, least).select(*keys, line_id), [*keys, line_id], "left_anti").select(*lines.columns)
 
 
@@ -99,14 +108,29 @@ def best_box(lines: DataFrame, boxes: DataFrame, keys: list[str], line_id: str)
     return hit.groupBy(*keys, line_id).agg(top.alias("__t")).select(*keys, line_id, "__t.block_id", "__t.iou")
 
 
-def merge_tables(lines: DataFrame, tables: DataFrame, keys: list[str], line_id: str) -> DataFrame:
-    """(keys, place, kind, item): lines under tables go; each table stands once, where the first line that it replaces stood (one without lines at the end); kind is 0 for tables, 1 for lines."""
-    hit = _pairs(lines, tables, keys).where(overlaps(box(), box("b_")))
-    first = hit.groupBy(*keys, "b_block_id").agg(F.min(line_id).alias("place"))
-    t = tables.select(*keys, F.col("block_id").alias("b_block_id")).join(first, [*keys, "b_block_id"], "left")
-    t = t.select(*keys, F.coalesce(F.col("place").cast("bigint"), F.lit(1 << 40)).alias("place"), F.lit(0).cast("bigint").alias("kind"), F.col("b_block_id").cast("bigint").alias("item"))
-    rest = outside(lines, tables, keys, line_id).select(*keys, F.col(line_id).cast("bigint").alias("place"), F.lit(1).cast("bigint").alias("kind"), F.col(line_id).cast("bigint").alias("item"))
-    return t.unionByName(rest)
+def merge_tables(blocks: DataFrame, lines: DataFrame, tables: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, place, kind, item, text, x1, y1, x2, y2): blocks of text and tables in reading order. blocks and tables: keys, block_id, box; blocks have a text; lines: keys, block_id, ord, text, box.
+    A block that meets a table loses the lines that meet one, is rebuilt from the others, and goes where none is left; each table follows the first block that it meets (kind 1), one that meets none is left out. One task holds no more than the lines of a block."""
+    t = tables.select(*keys, F.col("block_id").alias("table_id"), *[F.col(c).alias("t_" + c) for c in BOX])
+    met = blocks.select(*keys, "block_id", *BOX).join(t, keys).where(overlaps(box(), box("t_"))).select(*keys, "block_id", "table_id", *["t_" + c for c in BOX])
+    touched = met.select(*keys, "block_id").distinct()
+    gone = lines.join(met, [*keys, "block_id"]).where(overlaps(box(), box("t_"))).select(*keys, "block_id", "ord").distinct()
+    left = lines.join(touched, [*keys, "block_id"], "left_semi").join(gone, [*keys, "block_id", "ord"], "left_anti")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ")
+    rebuilt = left.groupBy(*keys, "block_id").agg(joined.alias("text"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+    kept = blocks.join(touched, [*keys, "block_id"], "left_anti").select(*keys, "block_id", "text", *BOX).unionByName(rebuilt)
+    texts = kept.select(*keys, F.col("block_id").cast("bigint").alias("place"), F.lit(0).alias("kind"), F.col("block_id").cast("bigint").alias("item"), "text", *BOX)
+    first = met.groupBy(*keys, "table_id").agg(F.min("block_id").alias("place"))
+    own = tables.join(first, (F.col("block_id") == F.col("table_id")) & _same(tables, first, keys))
+    own = own.select(*[tables[k] for k in keys], F.col("place").cast("bigint").alias("place"), F.lit(1).alias("kind"), F.col("table_id").cast("bigint").alias("item"), F.lit(None).cast("string").alias("text"), *[tables[c] for c in BOX])
+    return texts.unionByName(own)
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    cond = a[keys[0]] == b[keys[0]]
+    for k in keys[1:]:
+        cond = cond & (a[k] == b[k])
+    return cond
 
 
 def runs(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -119,22 +143,31 @@ def runs(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 def reading_order(blocks: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, block_id, last_span, place): blocks by their last span's number; those without one are first (-1), ties by class, then number."""
     last = spans.groupBy(*keys, "block_id").agg(F.max("ord").alias("__last"))
-    rank = F.coalesce(*[F.when(F.col("class") == c, F.lit(k)) for k, c in enumerate(CLASS_ORDER)], F.lit(len(CLASS_ORDER)))
+    rank = _class_rank("class")
     out = blocks.join(last, [*keys, "block_id"], "left").withColumn("last_span", F.coalesce(F.col("__last"), F.lit(-1)).cast("bigint"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("last_span", rank, "block_id")) - 1
     return out.select(*keys, "block_id", "last_span", place.cast("bigint").alias("place"))
 
 
-def font_size(size: Column, name: Column, b: list[Column], rotation: Column) -> Column:
-    """The given size above 1, else the number at the end of the font's name, else the box's height (its width where turned), else 1."""
+def font_size(size: Column, name: Column, b: list[Column], rotation: Column, text: Column | None = None) -> Column:
+    """The given size above 1, else the last number in the font's name, else, where the text has no line end, the box's height (upright or upside down) or its width (turned by a right angle), else 1."""
     named = F.try_element_at(F.regexp_extract_all(name, F.lit("([0-9]+)")), F.lit(-1)).cast("double")
-    by_box = F.when(rotation.isin(90.0, 270.0), b[2] - b[0]).otherwise(b[3] - b[1])
-    return F.when(size > 1, size).when(named > 0, named).when(by_box > 0, by_box).otherwise(F.lit(1.0))
+    turn = F.bround(F.coalesce(rotation, F.lit(0.0)))
+    by_box = F.when(turn.isin(0.0, 180.0, -180.0), b[3] - b[1]).when(turn.isin(90.0, -90.0, 270.0, -270.0), b[2] - b[0])
+    if text is not None:
+        by_box = F.when(~F.contains(F.coalesce(text, F.lit("")), F.lit("\n")), by_box)
+    return F.when(size > 1, size).when(named.isNotNull(), named).otherwise(F.coalesce(by_box, F.lit(UNKNOWN_SIZE)))
+
+
+def first_pages(df: DataFrame, doc: str = "doc_id", page: str = "page", pages: int = MODE_PAGES) -> DataFrame:
+    """The rows of each document's first pages: what the usual font size and weight are taken from."""
+    firsts = df.select(doc, page).distinct().groupBy(doc).agg(F.slice(F.array_sort(F.collect_set(page)), 1, pages).alias("__p"))
+    return df.join(firsts, doc).where(F.array_contains("__p", F.col(page))).drop("__p")
 
 
 def mode_of(df: DataFrame, keys: list[str], value: Column, default: int) -> DataFrame:
-    """(keys, mode): the most frequent rounded value, the least on ties."""
-    n = df.select(*keys, F.round(value).cast("bigint").alias("__v")).groupBy(*keys, "__v").agg(F.count("__v").alias("__n"))
+    """(keys, mode): the most frequent value, rounded half to even, the least on ties."""
+    n = df.select(*keys, F.bround(value).cast("bigint").alias("__v")).groupBy(*keys, "__v").agg(F.count("__v").alias("__n"))
     return n.groupBy(*keys).agg(F.coalesce(F.max_by("__v", F.struct(F.col("__n"), -F.col("__v"))), F.lit(default)).alias("mode"))
 
 
@@ -151,18 +184,21 @@ def emphasis_flags(spans: DataFrame, modes: DataFrame, keys: list[str], line_key
 def headings(blocks: DataFrame) -> DataFrame:
     """blocks (text, all_bold, font_size, mode) with ``is_heading``: bold throughout, under 200 characters, some text, no smaller than usual."""
     text = F.trim("text")
-    return blocks.withColumn("is_heading", F.col("all_bold") & (F.length(text) < 200) & (text != "") & (F.round("font_size") >= F.col("mode")))
+    return blocks.withColumn("is_heading", F.col("all_bold") & (F.length(text) < 200) & (text != "") & (F.bround("font_size") >= F.col("mode")))
 
 
 def layout_stats(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, char_width, line_height, coverage, short_share, is_2d): medians, the share of the joint box that spans cover, the share of lines narrower than 0.6 of it; sparse text is laid out in two dimensions. Areas are summed as decimals, so the order of rows doesn't matter."""
-    u = union_box(spans, keys).select(*keys, *[F.col(c).alias("u_" + c) for c in BOX])
-    both = spans.join(u, keys)
-    w, whole = F.col("x2") - F.col("x1"), (F.col("u_x2") - F.col("u_x1")) * (F.col("u_y2") - F.col("u_y1"))
-    short = F.when(w < 0.6 * (F.col("u_x2") - F.col("u_x1")), 1.0).otherwise(0.0)
-    cover = F.when(F.max(whole) > 0, F.sum(area(box()).cast("decimal(20,10)")).cast("double") / F.max(whole)).otherwise(F.lit(0.0))
-    out = both.groupBy(*keys).agg(F.median(w / F.length("text")).alias("char_width"), F.median(F.col("y2") - F.col("y1")).alias("line_height"), F.round(cover, 6).alias("coverage"), F.round(F.avg(short), 6).alias("short_share"))
-    return out.withColumn("is_2d", F.col("coverage") < 0.5)
+    """(keys, char_width, line_height, coverage, short_share, is_2d): medians, the share of the joint box that spans cover, the share of lines narrower than 0.6 of it; sparse text with some short lines is laid
+    out in two dimensions. One aggregate; areas are summed as decimals, so the order of rows doesn't matter."""
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    wide, high = F.max("x2") - F.min("x1"), F.max("y2") - F.min("y1")
+    one = spans.groupBy(*keys).agg(
+        F.median(w / F.length("text")).alias("char_width"), F.median(h).alias("line_height"), F.sum(area(box()).cast("decimal(20,10)")).cast("double").alias("__sum"), (wide * high).alias("__whole"), wide.alias("__wide"), F.collect_list(w).alias("__w"), F.count("*").alias("__n")
+    )
+    cover = F.when(F.col("__whole") > 0, F.col("__sum") / F.col("__whole")).otherwise(F.lit(0.0))
+    short = F.size(F.filter("__w", lambda x: x < NARROW * F.col("__wide"))) / F.col("__n")
+    out = one.select(*keys, "char_width", "line_height", F.round(cover, 6).alias("coverage"), F.round(short, 6).alias("short_share"), ((cover < SPARSE) & (short >= NARROW_SHARE)).alias("is_2d"))
+    return out
 
 
 def is_table_filled(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -172,52 +208,88 @@ def is_table_filled(cells: DataFrame, keys: list[str]) -> DataFrame:
     return cols.groupBy(*keys).agg(F.max("__r").alias("n_rows"), ((F.min("__f") > 0.3) & (F.max("__r") > 2)).alias("is_valid"))
 
 
+def empty_blocks(blocks: DataFrame, lines: DataFrame, assigned: DataFrame, keys: list[str], line_id: str, least: float = 0.3) -> DataFrame:
+    """blocks with n_lines, how many lines they took, and is_empty: they took none, and no line of the page is covered by more than ``least`` either."""
+    took = assigned.groupBy(*keys, "block_id").agg(F.count("*").alias("__n"))
+    covered = _pairs(lines, blocks, keys).where(overlap_ratio(box("b_"), box()) > least).select(*keys, F.col("b_block_id").alias("block_id"), F.lit(True).alias("__c")).distinct()
+    out = blocks.join(took, [*keys, "block_id"], "left").join(covered, [*keys, "block_id"], "left")
+    return out.withColumn("n_lines", F.coalesce("__n", F.lit(0))).withColumn("is_empty", (F.col("n_lines") == 0) & F.col("__c").isNull()).drop("__n", "__c")
+
+
 def needs_ocr(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, empty_share, needs_ocr): pages where over 3 of 4 text blocks are empty, or that have none."""
-    is_text = F.col("class").isin("text", "title", "caption")
-    empty = F.avg(F.when(is_text, F.when(F.trim(F.coalesce("text", F.lit(""))) == "", 1.0).otherwise(0.0)))
-    return blocks.groupBy(*keys).agg(F.round(F.coalesce(empty, F.lit(1.0)), 6).alias("empty_share")).withColumn("needs_ocr", F.col("empty_share") > 0.75)
+    """(keys, lost_share, needs_ocr): pages where over 3 of 4 blocks of a text class (tables too) lost all their lines to others, or that have none of these classes. blocks: class, n_lines, is_empty; a
+    block without any text under it (is_empty) counts as filled, as it is a picture of something else."""
+    lost = F.when(~F.col("is_empty") & (F.col("n_lines") == 0), 1.0).otherwise(0.0)
+    share = F.avg(F.when(F.col("class").isin(*TEXT_CLASSES), lost))
+    return blocks.groupBy(*keys).agg(F.round(F.coalesce(share, F.lit(1.0)), 6).alias("lost_share")).withColumn("needs_ocr", F.col("lost_share") > 0.75)
+
+
+def _bare(text: str) -> str:
+    return text.replace("\r", "").replace("\n", "")
 
 
-def grid_text(spans: list[dict], w_mult: float = 1.0, h_mult: float = 1.0, rescale: bool = False, break_lines: bool = True) -> str:
-    """Spans (text, line, x1, y1, x2, y2, line_y2) as text that keeps the layout: rows and columns of a grid by the median character."""
-    clean = lambda s: s["text"].replace("\r", "").replace("\n", "").strip()
-    kept = [s for s in spans if clean(s) and ((s["y2"] > s["y1"] and (s["x2"] - s["x1"]) / (s["y2"] - s["y1"]) > 1) or len(clean(s)) <= 2)]
+def _fits(s: dict) -> bool:
+    w, h = s["x2"] - s["x1"], s["y2"] - s["y1"]
+    return w > 0 and h > 0 and len(s["text"]) > 0 and (w / h > 1 or len(s["text"]) < MIN_SPAN_CHARS)
+
+
+def grid_text(spans: list[dict], w_mult: float = WIDE, h_mult: float = HIGH, rescale: bool = False, break_lines: bool = True, only_fitting: bool = True, strip: bool = True, by_place: bool = False) -> str:
+    """Spans (text, x1, y1, x2, y2; with lines also line, the line's number, and line_y2, its foot) as text that keeps the layout: rows and columns of a grid by the median character. A span that would
+    overlap what stands in its row makes the grid finer (``rescale``) or, where lines are given, begins another line (``break_lines``)."""
+    lined = any(s.get("line") is not None for s in spans)
+    kept, seen = [], set()
+    for s in spans:
+        starts = s.get("line") not in seen
+        seen.add(s.get("line"))
+        if not (lined and not _bare(s["text"]).strip()) and (not only_fitting or _fits(s)):
+            kept.append((s, starts))
     if not kept:
         return ""
-    high = median(s["y2"] - s["y1"] for s in kept) * h_mult
-    wide = median((s["x2"] - s["x1"]) / len(s["text"]) for s in kept) * w_mult
-    if high <= 0 or wide <= 0:
-        return " ".join(s["text"] for s in kept)
-    foot = lambda s: s.get("line_y2") or s["y2"]
-    left, top = min(s["x1"] for s in kept), min(foot(s) for s in kept)
-    rows: dict[int, list[tuple[int, dict]]] = {}
-    for s in kept:
-        rows.setdefault(round((foot(s) - top) / high), []).append((round((s["x1"] - left) / wide), s))
-    out = ""
+    wide = median((s["x2"] - s["x1"]) / len(s["text"]) for s, _ in kept)
+    high = median(s["y2"] - s["y1"] for s, _ in kept)
+    foot = lambda s: s["line_y2"] if s.get("line_y2") is not None else s["y2"]
+    left, top = min(s["x1"] for s, _ in kept), min(foot(s) for s, _ in kept)
+    if wide <= 0 or high <= 0:
+        return " ".join(s["text"] for s, _ in kept)
+    while True:
+        text = _grid(kept, left, top, wide * w_mult, high * h_mult, rescale, lined and break_lines, strip, by_place, foot)
+        if text is not None:
+            return text
+        if w_mult - SHRINK >= LEAST_WIDE:
+            w_mult -= SHRINK
+        elif h_mult - SHRINK >= LEAST_HIGH:
+            h_mult -= SHRINK
+        else:
+            rescale = False
+
+
+def _grid(kept, left, top, wide, high, rescale, break_lines, strip, by_place, foot) -> str | None:
+    """None where a conflict asks for a finer grid."""
+    rows: dict[int, list[tuple[int, dict, bool]]] = {}
+    for s, starts in kept:
+        rows.setdefault(round((foot(s) - top) / high), []).append((round((s["x1"] - left) / wide), s, starts))
+    out: list[str] = []
     for y in sorted(rows):
-        out += "\n" * (y - out.count("\n"))
-        line, seen = "", None
-        for x, s in rows[y]:
-            if x < len(line) - 2:
-                if rescale and w_mult - 0.1 >= 0.7:
-                    return grid_text(spans, w_mult - 0.1, h_mult, rescale, break_lines)
-                if rescale and h_mult - 0.1 >= 0.5:
-                    return grid_text(spans, w_mult, h_mult - 0.1, rescale, break_lines)
-                starts = s.get("line") != seen
-                if break_lines and ((starts and len(line.replace(" ", "")) > 5) or abs(x - len(line)) > 5):
-                    out, line = out + line + "\n", ""
-            line += " " * max(1, x - len(line)) + clean(s)
-            seen = s.get("line")
-        out += line + "\n"
-    return out
+        out += [""] * (y - len(out))
+        line = ""
+        for x, s, starts in sorted(rows[y], key=lambda r: r[0]) if by_place else rows[y]:
+            text = _bare(s["text"])
+            if x < len(line) - CONFLICT and text.strip():
+                if rescale:
+                    return None
+                if break_lines and ((starts and len(line.replace(" ", "").strip()) > TOLERANCE) or abs(x - len(line)) > TOLERANCE):
+                    out.append(line)
+                    line = ""
+            line += " " * max(1, x - len(line)) + (text.strip() if strip else text)
+        out.append(line)
+    return "\n".join(out) + "\n"
 
 
 def collapse_blanks(text: str, rows: bool = True, columns: bool = False) -> str:
     """Of neighbouring blank rows (and columns) one stays; outer blank rows go."""
     lines = text.split("\n")
     if rows:
-        lines = re.sub(r"\n(?:[^\S\n]*\n){2,}", "\n\n", "\n".join(lines)).split("\n")
+        lines = [x for k, x in enumerate(lines) if x.strip() or not k or lines[k - 1].strip()]
         while lines and not lines[-1].strip():
             lines.pop()
         while lines and not lines[0].strip():
@@ -230,15 +302,15 @@ def collapse_blanks(text: str, rows: bool = True, columns: bool = False) -> str:
     return "\n".join(lines)
 
 
-def layout_text(spans: DataFrame, keys: list[str], rescale: bool = False, columns: bool = False) -> DataFrame:
-    """(keys, rendered): the spans (ord, text, x1, y1, x2, y2) of each group as laid-out text."""
+def layout_text(spans: DataFrame, keys: list[str], rescale: bool = False, columns: bool = False, break_lines: bool = True) -> DataFrame:
+    """(keys, rendered): the spans (ord, text, x1, y1, x2, y2; line and line_y2 where there are lines) of each group as laid-out text."""
     kinds = dict(spans.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", rendered string"
 
     def one(rows: list[dict]):
         rows = sorted((r for r in rows if r["text"] and all(r[c] is not None for c in BOX)), key=lambda r: r["ord"])
         if rows:
-            yield {**{k: rows[0][k] for k in keys}, "rendered": collapse_blanks(grid_text(rows, rescale=rescale), True, columns)}
+            yield {**{k: rows[0][k] for k in keys}, "rendered": collapse_blanks(grid_text(rows, rescale=rescale, break_lines=break_lines), True, columns)}
 
     return per_group(spans, keys, one, schema)
 
