@@ -172,8 +172,14 @@ def node_groups(sigs: DataFrame, bins: int = BINS, rows: int = ROWS, threshold:
     open_stars = stars.join(buckets, "bucket", "left_semi")
     members = open_stars.select("bucket", F.col("b").alias("node")).unionByName(open_stars.select("bucket", F.col("a").alias("node")).distinct())
     members = materialize(members.join(comp, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("label")), "open")
-    more = match_rest(members, sigs, bins, threshold, block)
-    return components(comp.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
+    more = materialize(match_rest(members, sigs, bins, threshold, block), "ties")
+    if more.isEmpty():
+        return comp
+    # only the groups that are tied change: their roots, and nodes that were single, form components of their own; neither stand in comp as nodes
+    ends = more.join(root("a"), "a", "left").join(root("b"), "b", "left").select(label("a").alias("a"), label("b").alias("b"))
+    new = materialize(components(ends), "tied_roots")
+    moved = comp.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return moved.unionByName(new)
 
 
 def components(edges: DataFrame) -> DataFrame:

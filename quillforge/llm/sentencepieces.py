@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .bpe import Merges
-from .common import arrow_map, list_array, map_batches, materialize, unused
+from .common import arrow_map, give_back, list_array, map_batches, materialize, unused
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 FOLD_CHARS = 61
@@ -170,7 +170,9 @@ def units_of(model: PieceModel, data: np.ndarray, offs: np.ndarray) -> tuple[np.
     if not n:
         return data, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
     cut = np.ones(n, bool)
-    cut[1:] = ~model.spans[data[:-1], data[1:]] & ((data[1:] & 0xC0) != 0x80)
+    for lo in range(1, n, 1 << 17):  # the pairs' numbers take eight times the bytes
+        a, b = data[lo - 1 : min(n, lo + (1 << 17)) - 1], data[lo : lo + (1 << 17)]
+        cut[lo : lo + (1 << 17)] = ~model.spans[a, b] & ((b & 0xC0) != 0x80)
     cut[offs[:-1][offs[:-1] < n]] = True
     start = np.flatnonzero(cut)
     return data, start, np.append(start[1:], n), np.searchsorted(start, offs)
@@ -342,6 +344,8 @@ def encode(docs: DataFrame, model: PieceModel, limit: int = DICTIONARY_BYTES, de
     coded = materialize(encode_units(unit_table(texts, model), model), "unit_pieces")
     d, others = split_dictionary(coded, limit)
     sent = spark.sparkContext.broadcast((d.keys, d.first, d.ids))
+    del d
+    give_back()
     text_at, partial = plain.columns.index("text"), others is not None
     row, lost, met = unused(plain, "row", "lost", "met")
     schema = StructType(plain.schema.fields[:]).add("piece_ids", ArrayType(IntegerType()))

@@ -193,14 +193,24 @@ def run_bounds(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def span_hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans: differences of a polynomial prefix hash, made free of their place, mixed."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    power, inverse = _powers(len(low) + 1)
-    acc = np.empty(len(low) + 1, np.uint64)
-    acc[0] = 0
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[: len(low)], out=acc[1:])
-    return mix((acc[end] - acc[start]) * inverse[start] + (end - start).astype(np.uint64))
+    """64-bit hashes of the byte spans, which are in the order of their starts: differences of a polynomial prefix hash, made free of their place, mixed. Prefixes are made for about
+    ``SLICE_BYTES`` at a time, however long a text is."""
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        base = int(start[i])
+        j = max(i + 1, int(np.searchsorted(start, base + SLICE_BYTES // 2)))
+        top = int(end[i:j].max())
+        power, inverse = _powers(top - base + 1)
+        acc = np.zeros(top - base + 1, np.uint64)
+        acc[1:] = low[base:top]
+        acc[1:] += np.uint64(1)
+        acc[1:] *= power[: top - base]
+        np.cumsum(acc, out=acc)
+        s, e = start[i:j] - base, end[i:j] - base
+        out[i:j] = (acc[e] - acc[s]) * inverse[s] + (e - s).astype(np.uint64)
+        i = j
+    return mix(out)
 
 
 def tokenize(data: np.ndarray, offs: np.ndarray) -> Tokens:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import arrow_map, id_text, list_array, map_batches, materialize
+from .common import arrow_map, give_back, id_text, list_array, map_batches, materialize
 
 #: Bound on the labelled rows of each class that the model is fitted on, drawn by a hash of the id.
 MAX_LABELLED_PER_CLASS = 6000
@@ -176,6 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled_per_class: int = MAX_LA
     left = some[x_col]
     indptr = np.searchsorted(row[left], np.arange(len(toxic) + 1))
     w, theta = fit_cumulative((np.cumsum(some) - 1)[x_col[left]], x_val[left], indptr, grade, int(some.sum()), l1=5e-5)
+    del got, lists, row, n, x_col, x_val, left
+    give_back()
     return OrdinalModel(words[some], w, np.maximum(theta, [1e-3, 2e-3]))  # without evidence a text is clean
 
 

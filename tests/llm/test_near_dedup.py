@@ -122,6 +122,24 @@ def test_rest_of_a_bucket_in_blocks(spark):
         assert all(got.get(i, i) == want.get(i, i) for i in range(400))
 
 
+def test_node_groups_of_chains(spark):
+    """Drifting signatures in crowded buckets: most links aren't to a bucket's centre, and groups are tied in the second look."""
+    rng = np.random.default_rng(9)
+    sig = []
+    for _ in range(12):
+        s = rng.integers(0, 1 << 32, 16, dtype=np.uint64).astype(np.uint32)
+        s[:2] = 7  # what all share
+        for _ in range(12):
+            s = s.copy()
+            s[rng.integers(2, 16, 4)] = rng.integers(0, 1 << 32, 4)
+            sig.append(s)
+    sig = np.array(sig)[rng.permutation(len(sig))]
+    n = len(sig)
+    sigs = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sig)], "node bigint, sig binary")
+    due = {i: r for i, r in united([(i, j) for j in range(n) for i in range(j) if (sig[i] == sig[j]).mean() >= 0.7]).items() if i != r}
+    assert {r.node: r.root for r in near_dedup.node_groups(sigs, 16, 1, 0.7, 64).collect()} == due and len(due) > 60
+
+
 def test_rows_that_repeat_an_id_go_by_their_own_text(docs):
     rng = random.Random(13)
     one, two, three = (" ".join(words(rng, 60)) for _ in range(3))
