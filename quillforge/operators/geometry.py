@@ -121,18 +121,11 @@ def merge_tables(blocks: DataFrame, lines: DataFrame, tables: DataFrame, keys: l
     kept = blocks.join(touched, [*keys, "block_id"], "left_anti").select(*keys, "block_id", "text", *BOX).unionByName(rebuilt)
     texts = kept.select(*keys, F.col("block_id").cast("bigint").alias("place"), F.lit(0).alias("kind"), F.col("block_id").cast("bigint").alias("item"), "text", *BOX)
     first = met.groupBy(*keys, "table_id").agg(F.min("block_id").alias("place"))
-    own = tables.join(first, (F.col("block_id") == F.col("table_id")) & _same(tables, first, keys))
-    own = own.select(*[tables[k] for k in keys], F.col("place").cast("bigint").alias("place"), F.lit(1).alias("kind"), F.col("table_id").cast("bigint").alias("item"), F.lit(None).cast("string").alias("text"), *[tables[c] for c in BOX])
+    own = tables.select(*keys, F.col("block_id").alias("table_id"), *BOX).join(first, [*keys, "table_id"])
+    own = own.select(*keys, F.col("place").cast("bigint").alias("place"), F.lit(1).alias("kind"), F.col("table_id").cast("bigint").alias("item"), F.lit(None).cast("string").alias("text"), *BOX)
     return texts.unionByName(own)
 
 
-def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    cond = a[keys[0]] == b[keys[0]]
-    for k in keys[1:]:
-        cond = cond & (a[k] == b[k])
-    return cond
-
-
 def runs(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """df with ``run``: numbers rows of a group whose ``order`` goes on by one alike, from 0."""
     w = Window.partitionBy(*keys).orderBy(order)

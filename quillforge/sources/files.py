@@ -40,10 +40,48 @@ def mime_column(path: Column, content: Column | None = None) -> Column:
     return F.coalesce(out, F.lit(UNKNOWN))
 
 
+def _unlisted(name: str) -> bool:
+    """Does Spark's listing leave out files and folders of this name?"""
+    return (name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")) and not name.startswith(("_metadata", "_common_metadata"))
+
+
+def _unlisted_files(spark: SparkSession, path: str) -> DataFrame | None:
+    """(path, modificationTime, length, content) of the files below ``path`` that Spark's listing leaves out; the executors read them."""
+    from datetime import UTC, datetime
+
+    from pyarrow import fs
+
+    from ..operators.arrow import flat_map
+
+    scheme = path.split(":", 1)[0] if ":" in path else "file"
+    system, base = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+    if system.get_file_info(base).type != fs.FileType.Directory:
+        return None
+    rows = []
+    for info in system.get_file_info(fs.FileSelector(base, recursive=True)):
+        below = info.path[len(base.rstrip("/")) + 1 :]
+        if info.type == fs.FileType.File and any(map(_unlisted, below.split("/"))):
+            rows.append((f"{scheme}:{info.path}" if scheme == "file" else f"{scheme}://{info.path}", info.path, info.mtime or datetime.fromtimestamp(0, UTC), info.size))
+    if not rows:
+        return None
+    where = path if "://" in path else "file://" + path.removeprefix("file:")
+
+    def read(row: dict):
+        system, _ = fs.FileSystem.from_uri(where)
+        with system.open_input_stream(row["at"]) as f:
+            yield {"path": row["path"], "modificationTime": row["modificationTime"], "length": row["length"], "content": f.read()}
+
+    listed = spark.createDataFrame(rows, "path string, at string, modificationTime timestamp, length bigint")
+    return flat_map(listed, read, "path string, modificationTime timestamp, length bigint, content binary", 16)
+
+
 def scan(spark: SparkSession, path: str, skip_hidden: bool = True) -> DataFrame:
-    """(doc_id, path, mimetype, content, origin) of every file below ``path``, by Spark's own listing (which leaves out names that begin with _ or a dot): doc_id is the hash of the bytes, so
-    equal files share it; origin tells them apart. Content is read only where a query asks for it."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    """(doc_id, path, mimetype, content, origin) of every file below ``path``: doc_id is the hash of the bytes, so equal files share it; origin tells them apart. Spark lists and reads the files; those that its
+    listing leaves out (names that begin with _, and hidden ones where ``skip_hidden`` is off) are listed apart and read by the executors. Content is read only where a query asks for it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(path)
+    more = _unlisted_files(spark, path)
+    if more is not None:
+        files = files.unionByName(more)
     base = F.lit(path.rstrip("/").split(":", 1)[-1].lstrip("/"))
     relative = F.regexp_replace(F.col("path"), F.concat(F.lit("^.*?\\Q"), base, F.lit("\\E/?")), "")
     kept = files.where(~is_hidden(relative)) if skip_hidden else files
@@ -69,7 +107,8 @@ Parser = Callable[[bytes, str], object]
 
 
 class ParserRegistry:
-    """Parsers by media type, each a function of (bytes, path) that returns a root Node. The order of trial: those of ``temporary`` first, then registered callbacks, extras, and the built-in ones."""
+    """Parsers by media type, each a function of (bytes, path) that returns a root Node. The order of trial: callbacks and then extras of ``temporary``, the outer one's first, registered callbacks,
+    registered extras, and the built-in ones."""
 
     def __init__(self, builtin: dict[str, list[Parser]] | None = None):
         from . import formats
@@ -77,6 +116,7 @@ class ParserRegistry:
         self.builtin = formats.BUILTIN if builtin is None else builtin
         self.extras: dict[str, list[Parser]] = {}
         self.callbacks: list[Callable[[str, str], Parser | None]] = []
+        self.passing: list[tuple[dict[str, list[Parser]], list[Callable[[str, str], Parser | None]]]] = []
 
     def register(self, extras: dict[str, list[Parser]] | None = None, callbacks: list[Callable[[str, str], Parser | None]] | None = None) -> None:
         for mime, parsers in (extras or {}).items():
@@ -86,16 +126,17 @@ class ParserRegistry:
     @contextmanager
     def temporary(self, extras: dict[str, list[Parser]] | None = None, callbacks: list[Callable[[str, str], Parser | None]] | None = None) -> Iterator[ParserRegistry]:
         """Registered for a while, ahead of the others; undone also where the body raises."""
-        held = self.extras, self.callbacks
-        self.extras = {m: [*(extras or {}).get(m, []), *self.extras.get(m, [])] for m in {*self.extras, *(extras or {})}}
-        self.callbacks = [*(callbacks or []), *self.callbacks]
+        held = self.passing
+        self.passing = [*held, (extras or {}, callbacks or [])]
         try:
             yield self
         finally:
-            self.extras, self.callbacks = held
+            self.passing = held
 
     def resolve(self, path: str, mime: str, strict: bool = False) -> list[Parser]:
-        found = [p for c in self.callbacks if (p := c(path, mime))] + self.extras.get(mime, []) + self.builtin.get(mime, [])
+        asked = lambda callbacks: [p for c in callbacks if (p := c(path, mime))]
+        found = [p for _, callbacks in self.passing for p in asked(callbacks)] + [p for extras, _ in self.passing for p in extras.get(mime, [])]
+        found += asked(self.callbacks) + self.extras.get(mime, []) + self.builtin.get(mime, [])
         if not found and strict:
             raise ValueError(f"no parser for {mime}")
         return found

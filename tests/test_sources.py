@@ -24,14 +24,20 @@ def folder(tmp_path):
     put("broken.json", b"{nope")
     put(".hidden/g.txt", b"x")
     put("sub/.h.txt", b"x")
+    put("_b.txt", b"under")
+    put("_sub/c=d.txt", b"x")
     return tmp_path
 
 
 def test_scan_and_parse(spark, folder):
     found = files.scan(spark, str(folder))
     names = {r.path.rsplit("/", 1)[-1] for r in found.select("path").collect()}
-    assert names == {"a.md", "b.csv", "c.json", "d.txt", "e.toml", "copy.md", "f.bin", "broken.json"}
-    assert len({r.doc_id for r in found.select("doc_id").collect()}) == 7
+    plain = {"a.md", "b.csv", "c.json", "d.txt", "e.toml", "copy.md", "f.bin", "broken.json", "_b.txt", "c=d.txt"}
+    assert names == plain and found.count() == 10
+    every = files.scan(spark, str(folder), skip_hidden=False)
+    assert {r.path.rsplit("/", 1)[-1] for r in every.select("path").collect()} == plain | {"g.txt", ".h.txt"} and every.count() == 12
+    assert {bytes(r.content) for r in every.where("path LIKE '%/_b.txt'").collect()} == {b"under"}
+    assert len({r.doc_id for r in found.select("doc_id").collect()}) == 9
     rows = files.parse_files(found).collect()
     by = {}
     for r in rows:
@@ -54,6 +60,12 @@ def test_registry():
         assert reg.resolve("x", "t") == [mine, other, mine, formats.parse_text]
         raise KeyError
     assert reg.resolve("x", "t") == [mine, formats.parse_text]
+    always = lambda d, p: Node("", "root")
+    reg.register(callbacks=[lambda p, m: always])
+    with reg.temporary({"t": [other]}):  # temporary extras come before registered callbacks
+        assert reg.resolve("x", "t") == [other, always, mine, formats.parse_text]
+        with reg.temporary(callbacks=[lambda p, m: mine]):
+            assert reg.resolve("x", "t") == [mine, other, always, mine, formats.parse_text]
 
 
 def zipped(parts):
