@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.splitting import Length, length_function
@@ -13,25 +13,15 @@ from .arrow import flat_map
 from .render import Node
 
 
-def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line_no, line) with ``fenced``: inside or at the ends of a fenced block."""
-    rows = df.select(F.col(id_col), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-    mark = F.ltrim("line").startswith("```").cast("int")
-    so_far = F.sum(mark).over(Window.partitionBy(id_col).orderBy("line_no"))
-    return rows.withColumn("__n", so_far).withColumn("fenced", (F.col("__n") % 2 == 1) | (mark == 1)).drop("__n")
+def setext_to_atx(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text): lines underlined by = or - become headings of level 1 or 2, outside fenced blocks. A map over texts."""
+    kind = dict(df.dtypes)[id_col]
 
+    def one(row: dict):
+        if row["__text"] is not None:
+            yield {id_col: row[id_col], "text": atx_from_setext(row["__text"])}
 
-def setext_to_atx(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text): lines underlined by = or - become headings of level 1 or 2, outside fenced blocks."""
-    w = Window.partitionBy(id_col).orderBy("line_no")
-    below = F.when(~F.lead("fenced").over(w), F.trim(F.lead("line").over(w)))
-    level = F.when(below.rlike("^=+$"), 1).when(below.rlike("^-+$"), 2)
-    head = F.when(~F.col("fenced") & (F.trim("line") != ""), level)
-    marked = lines_of(df, id_col, text_col).withColumn("head", head)
-    gone = F.coalesce(F.lag("head").over(w).isNotNull(), F.lit(False))
-    kept = marked.withColumn("gone", gone).where("NOT gone").withColumn("line", F.when(F.col("head").isNotNull(), F.concat(F.repeat(F.lit("#"), F.col("head")), F.lit(" "), F.col("line"))).otherwise(F.col("line")))
-    cells = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    return kept.groupBy(id_col).agg(F.array_join(F.transform(cells, lambda x: x["line"]), "\n").alias("text"))
+    return flat_map(df.select(F.col(id_col), F.col(text_col).alias("__text")), one, f"{id_col} {kind}, text string")
 
 
 def heading_level(line: Column) -> Column:
@@ -40,17 +30,27 @@ def heading_level(line: Column) -> Column:
     return F.when(n > 0, n)
 
 
+_ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]|$)")
+
+
 def sections(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, section, level, heading, content): texts cut at ATX headings; what stands before the first one belongs to it. Texts with fewer than two headings give nothing."""
-    w = Window.partitionBy(id_col).orderBy("line_no")
-    rows = lines_of(df, id_col, text_col).withColumn("level", F.when(~F.col("fenced"), heading_level(F.col("line"))))
-    numbered = rows.withColumn("section", F.greatest(F.sum(F.when(F.col("level").isNotNull(), 1).otherwise(0)).over(w), F.lit(1)))
-    cells = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    out = numbered.groupBy(id_col, "section").agg(
-        F.max("level").cast("bigint").alias("level"), F.max(F.when(F.col("level").isNotNull(), F.trim("line"))).alias("heading"), F.array_join(F.transform(cells, lambda x: x["line"]), "\n").alias("content")
-    )
-    out = out.withColumn("__n", F.count("level").over(Window.partitionBy(id_col)))
-    return out.where("__n >= 2").drop("__n").withColumn("section", (F.col("section") - 1).cast("bigint"))
+    """(id, section, level, heading, content): texts cut at ATX headings outside fenced blocks; what stands before the first one belongs to it. Texts with fewer than two headings give nothing. A map over texts."""
+    kind = dict(df.dtypes)[id_col]
+
+    def one(row: dict):
+        if row["__text"] is None:
+            return
+        lines, fenced, found = row["__text"].split("\n"), False, []
+        for k, line in enumerate(lines):
+            if line.lstrip(" ").startswith("```"):
+                fenced = not fenced
+            elif not fenced and (m := _ATX.match(line)):
+                found.append((k, len(m[1])))
+        stops = [k for k, _ in found[1:]] + [len(lines)]
+        for i, ((k, level), stop) in enumerate(zip(found, stops, strict=True) if len(found) > 1 else []):
+            yield {id_col: row[id_col], "section": i, "level": level, "heading": lines[k].strip(" "), "content": "\n".join(lines[k if i else 0 : stop])}
+
+    return flat_map(df.select(F.col(id_col), F.col(text_col).alias("__text")), one, f"{id_col} {kind}, section bigint, level bigint, heading string, content string")
 
 
 def find_headings(text: str) -> list[tuple[int, int, int]]:
@@ -135,6 +135,24 @@ def cut_at_headings(text: str, least: int = -1, size: Length | None = None) -> l
     return out
 
 
+def combine_sections(df: DataFrame, least: int, length: str | Length | None = None, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[str] = ("collapse", "combine")) -> DataFrame:
+    """(id, section, level): the headings of each text that stay after one pass of each rule, numbered as they stood: ``combine`` joins small sections of a level, ``collapse`` only children with their parents."""
+    kind, count, by = dict(df.dtypes)[id_col], length_function(length), {"collapse": collapse_only_children, "combine": combine_small}
+
+    def one(row: dict):
+        text = row["__text"]
+        found = find_headings(text) if text is not None else []
+        kept = list(range(len(found))) if len(found) > 1 else []
+        for rule in rules:
+            if len(kept) > 1:
+                own = [found[i] for i in kept]
+                kept = [kept[i] for i in by[rule]([f[0] for f in own], [f[2] for f in own], least, count, text)]
+        for i in kept:
+            yield {id_col: row[id_col], "section": i, "level": found[i][2]}
+
+    return flat_map(df.select(F.col(id_col), F.col(text_col).alias("__text")), one, f"{id_col} {kind}, section bigint, level bigint")
+
+
 def split_by_heading(df: DataFrame, least: int = -1, length: str | Length | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, section, level, heading, content, section_text, parent, prev): ``cut_at_headings`` of every text; a text with fewer than two headings is one row without a heading."""
     kind = dict(df.dtypes)[id_col]

@@ -161,16 +161,13 @@ def md_sections_general(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def md_combine_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings that stay when sections below 30 words are combined with the next of their level."""
-    sec = markdown.sections(headed(spark, sf_dir)).select("doc_id", "section", "level", T.word_len(F.col("content")).alias("n"))
-    cells = F.array_sort(F.collect_list(F.struct("section", "level", "n")))
-    start = F.struct(F.lit(-1).cast("bigint").alias("level"), F.lit(0).cast("bigint").alias("held"), F.array().cast("array<bigint>").alias("kept"))
+    return markdown.combine_sections(headed(spark, sf_dir), 30, None, rules=["combine"]).select("doc_id", "section")
 
-    def step(a, x):
-        merge = (a["level"] == x["level"]) & (a["held"] < 30)
-        return F.when(merge, F.struct(a["level"].alias("level"), (a["held"] + x["n"]).alias("held"), a["kept"].alias("kept"))).otherwise(F.struct(x["level"].alias("level"), x["n"].alias("held"), F.concat(a["kept"], F.array(x["section"])).alias("kept")))
 
-    kept = sec.groupBy("doc_id").agg(F.aggregate(cells, start, step, lambda a: a["kept"]).alias("kept"))
-    return kept.select("doc_id", F.explode("kept").alias("section"))
+def md_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a heading of level 1 and its one child of level 2, every other text before the child long enough to keep both: which headings stay."""
+    own = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# "), F.col("source"), F.lit("\n"), F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", "\n", " ")).otherwise(""), F.lit("\n## part\n"), F.regexp_replace("text", "\n", " ")).alias("text"))
+    return markdown.combine_sections(own, 40, None, rules=["collapse"])
 
 
 _COMBINE = f"""WITH RECURSIVE {_HEADED}, z AS (SELECT doc_id, section, level, {S.words("content")} AS n FROM sec),
@@ -258,7 +255,7 @@ QUERIES = {
     "pack_lines": pack_lines, "pack_lines_overlap": pack_lines_overlap, "word_len": word_lengths, "page_len": page_lengths, "split_keep_start": _split_query("start"), "split_keep_end": _split_query("end"),
     "split_drop": _split_query(None), "default_separators": default_separators, "chunk_by_chars_one_level": chunk_one_level, "chunk_by_chars_two_level": chunk_two_levels, "chunk_json_string": chunk_json,
     "lumber_llm_off": lumber_llm_off, "cumulative_counts": cumulative_counts, "root_ids": root_ids, "setext_to_atx": setext, "md_heading_split": md_heading_split, "md_heading_parent": md_heading_parent,
-    "md_sections_general": md_sections_general, "md_combine_small": md_combine_small, "list_markers": list_markers, "fenced_json": fenced_json, "json_native": json_native, "preview": previews, "mime_by_ext": mime_by_ext,
+    "md_sections_general": md_sections_general, "md_combine_small": md_combine_small, "md_collapse": md_collapse, "list_markers": list_markers, "fenced_json": fenced_json, "json_native": json_native, "preview": previews, "mime_by_ext": mime_by_ext,
     "hidden_filter": hidden_filter, "cell_convert": cell_convert, "csv_rows": csv_rows, "weighted_std": weighted_std,
 }
 
@@ -272,6 +269,8 @@ ORACLES = {
     "setext_to_atx": _SETEXT, "md_heading_split": f"WITH {_HEADED} SELECT doc_id, section, level, heading, content FROM sec",
     "md_heading_parent": f"WITH {_HEADED} SELECT s.doc_id, s.section, s.level, max(p.section) AS parent FROM sec s LEFT JOIN sec p ON p.doc_id = s.doc_id AND p.section < s.section AND p.level < s.level GROUP BY s.doc_id, s.section, s.level",
     "md_sections_general": f"WITH {_HEADED} SELECT s.doc_id, s.section, s.level, s.heading, s.content, max(p.section) AS parent FROM sec s LEFT JOIN sec p ON p.doc_id = s.doc_id AND p.section < s.section AND p.level < s.level GROUP BY ALL",
+    "md_collapse": f"""WITH d AS (SELECT doc_id, {S.words("'# ' || source || ' ' || CASE WHEN doc_id % 2 = 0 THEN text ELSE '' END")} AS own, {S.words("'## part ' || text")} AS child FROM documents)
+     SELECT doc_id, CAST(0 AS BIGINT) AS section, CAST(1 AS BIGINT) AS level FROM d UNION ALL SELECT doc_id, 1, 2 FROM d WHERE least(own, child) >= 40""",
     "md_combine_small": _COMBINE, "list_markers": _MARKERS, "fenced_json": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN props END AS body FROM events",
     "json_native": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json(props) AS VARCHAR) AS json FROM events",
     "preview": f"SELECT doc_id, CASE WHEN length(text) > 80 THEN left(text, 50) || '... (' || {S.words('substring(text, 51)')} || ' more words)' ELSE text END AS preview FROM documents",
