@@ -48,6 +48,19 @@ def chunk_by_characters(
     return _pieces(df, id_col, text_col, cut, count)
 
 
+def split_texts(df: DataFrame, size: int = 4000, separators: Sequence[str] | None = None, keep: str | bool | None = "start", id_col: str = "doc_id", text_col: str = "text", length: str | Length | None = None) -> DataFrame:
+    """Texts split by the first separator that occurs, longer pieces by the next ones, and all packed again up to ``size``. NULL and empty texts give nothing."""
+    count = length_function(length)
+    return _pieces(df, id_col, text_col, lambda t: split_repacked(t, separators or default_separators(t, newlines_first=True), size, keep, False, count) if t else [], count)
+
+
+def separators_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, separators): what ``split_texts`` and the flattener try on each text, in order, joined by |."""
+    kind = dict(df.dtypes)[id_col]
+    own = df.select(F.col(id_col), F.col(text_col).alias("__text"))
+    return flat_map(own, lambda r: [{id_col: r[id_col], "separators": "|".join(default_separators(r["__text"] or "", newlines_first=True))}], f"{id_col} {kind}, separators string")
+
+
 def chunk_json_strings(df: DataFrame, size: int = 4000, overlap: int = 200, id_col: str = "doc_id", text_col: str = "text", length: str | Length | None = None) -> DataFrame:
     """``chunk_by_characters`` at the ends of JSON values."""
     return chunk_by_characters(df, size, overlap, JSON_MARKS, "end", False, id_col, text_col, length)

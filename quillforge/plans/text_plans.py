@@ -95,6 +95,61 @@ def lumber_llm_off(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunkers.lumber_chunks(table(spark, sf_dir, "documents"), 256)
 
 
+_JSON = f"""WITH e AS (SELECT user_id, props, row_number() OVER (PARTITION BY user_id ORDER BY event_id, props) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+ c AS (SELECT user_id, CAST(i // 10 AS BIGINT) AS pos, string_agg(CASE WHEN i = 0 THEN '[' ELSE '' END || props || CASE WHEN i = n - 1 THEN ']' ELSE ',' END, '' ORDER BY i) AS content FROM e GROUP BY ALL)
+ SELECT user_id, pos, {S.words("content")} AS size, content FROM c"""  # each value has two words, so ten fit
+
+
+def lumber_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines packed to 32 words, numbered and grouped by windows of 256."""
+    return chunkers.lumber_chunks(table(spark, sf_dir, "documents"), 256, 32, ["\n"])
+
+
+_KEPT_LINES = f"SELECT doc_id AS k, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY r) - 1 AS BIGINT) AS i, x AS piece, {S.words('x')} AS n FROM ({_kept('text', 'chr(10)', 'documents', 'doc_id')})"
+_LUMBER = f"""WITH RECURSIVE {S.pack(_KEPT_LINES, 32, 0, "''")},
+ splits AS (SELECT k, content, row_number() OVER (PARTITION BY k ORDER BY st, en) - 1 AS i, count(*) OVER (PARTITION BY k) AS m FROM chunks),
+ n AS (SELECT k, i, m, content, {S.words("'ID ' || i || ': ' || content")} AS n FROM splits),
+ g AS (SELECT k, i, n AS held, 0 AS pos FROM n WHERE i = 0 UNION ALL SELECT n.k, n.i, CASE WHEN g.held >= 256 THEN n.n ELSE g.held + n.n END, CASE WHEN g.held >= 256 THEN g.pos + 1 ELSE g.pos END FROM g JOIN n ON n.k = g.k AND n.i = g.i + 1),
+ o AS (SELECT k AS doc_id, CAST(pos AS BIGINT) AS pos, string_agg(content, ' ' ORDER BY i) AS content FROM g JOIN n USING (k, i) WHERE m > 1 GROUP BY ALL UNION ALL SELECT doc_id, 0, text FROM documents WHERE doc_id NOT IN (SELECT k FROM splits WHERE m > 1))
+ SELECT doc_id, pos, {S.words("content")} AS size, content FROM o"""
+
+
+def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts split at lines that are packed again to 32 words."""
+    return chunkers.split_texts(table(spark, sf_dir, "documents"), 32, ["\n"])
+
+
+def flatten_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The separators that the flattener tries on each document: its runs of newlines first, the longer ones ahead, then its other runs of white space."""
+    return chunkers.separators_of(table(spark, sf_dir, "documents"))
+
+
+_FLATTEN_SEPARATORS = f"""WITH m AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\s+'))) AS s FROM documents),
+ o AS (SELECT doc_id, string_agg(s, '|' ORDER BY trim(s, chr(10)) <> '', length(s) DESC, s) AS t FROM m GROUP BY doc_id)
+ SELECT doc_id, coalesce(t || '|', '') || '{"|".join(T.MARKS).replace("'", "''")}|' AS separators FROM documents LEFT JOIN o USING (doc_id)"""
+
+
+def parsed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as files: a third each as text with CR line ends, as CSV and as broken JSON; their nodes."""
+    from ..sources import files
+
+    n = table(spark, sf_dir, "nation")
+    kind = F.col("n_nationkey") % 3
+    end = F.when(kind == 0, "txt").when(kind == 1, "csv").otherwise("json")
+    body = F.when(kind == 0, F.concat("n_name", F.lit("\r\nx\ry"))).when(kind == 1, F.concat(F.lit("id,name\n"), F.col("n_nationkey"), F.lit(","), F.col("n_name"), F.lit("\n"))).otherwise(F.concat(F.lit("{nope "), F.col("n_name")))
+    path = F.concat(F.lit("/n/"), F.col("n_nationkey"), F.lit("."), end)
+    own = n.select(F.col("n_nationkey").cast("string").alias("doc_id"), path.alias("path"), files.mime_column(path).alias("mimetype"), F.encode(body, "UTF-8").alias("content"))
+    return files.parse_files(own).select("doc_id", "chunk_id", "parent_id", "ord", "ctype", "content", "error")
+
+
+_PARSED = """WITH n AS (SELECT CAST(n_nationkey AS VARCHAR) AS d, n_nationkey % 3 AS k, n_name, n_nationkey FROM nation)
+ SELECT d AS doc_id, d AS chunk_id, CAST(NULL AS VARCHAR) AS parent_id, 0 AS ord, 'root' AS ctype, CAST(NULL AS VARCHAR) AS content, CAST(NULL AS VARCHAR) AS error FROM n
+ UNION ALL SELECT d, d || '/0', d, 0, 'div', CASE k WHEN 0 THEN n_name || chr(10) || 'x' || chr(10) || 'y' ELSE '{nope ' || n_name END, NULL FROM n WHERE k <> 1
+ UNION ALL SELECT d, d || '/0', d, 0, 'table', '', NULL FROM n WHERE k = 1
+ UNION ALL SELECT d, d || '/0.0', d || '/0', 0, 'tablerow', 'id,name', NULL FROM n WHERE k = 1
+ UNION ALL SELECT d, d || '/0.1', d || '/0', 1, 'tablerow', n_nationkey || ',' || n_name, NULL FROM n WHERE k = 1"""
+
+
 def cumulative_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words before each line of a document, lines numbered as a model is shown them."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -254,7 +309,7 @@ _STD = "WITH m AS (SELECT p_brand, sum(p_retailprice * p_size) / sum(p_retailpri
 QUERIES = {
     "pack_lines": pack_lines, "pack_lines_overlap": pack_lines_overlap, "word_len": word_lengths, "page_len": page_lengths, "split_keep_start": _split_query("start"), "split_keep_end": _split_query("end"),
     "split_drop": _split_query(None), "default_separators": default_separators, "chunk_by_chars_one_level": chunk_one_level, "chunk_by_chars_two_level": chunk_two_levels, "chunk_json_string": chunk_json,
-    "lumber_llm_off": lumber_llm_off, "cumulative_counts": cumulative_counts, "root_ids": root_ids, "setext_to_atx": setext, "md_heading_split": md_heading_split, "md_heading_parent": md_heading_parent,
+    "lumber_llm_off": lumber_llm_off, "lumber_lines": lumber_lines, "split_lines": split_lines, "flatten_separators": flatten_separators, "parsed_files": parsed_files, "cumulative_counts": cumulative_counts, "root_ids": root_ids, "setext_to_atx": setext, "md_heading_split": md_heading_split, "md_heading_parent": md_heading_parent,
     "md_sections_general": md_sections_general, "md_combine_small": md_combine_small, "md_collapse": md_collapse, "list_markers": list_markers, "fenced_json": fenced_json, "json_native": json_native, "preview": previews, "mime_by_ext": mime_by_ext,
     "hidden_filter": hidden_filter, "cell_convert": cell_convert, "csv_rows": csv_rows, "weighted_std": weighted_std,
 }
@@ -269,6 +324,8 @@ ORACLES = {
     "setext_to_atx": _SETEXT, "md_heading_split": f"WITH {_HEADED} SELECT doc_id, section, level, heading, content FROM sec",
     "md_heading_parent": f"WITH {_HEADED} SELECT s.doc_id, s.section, s.level, max(p.section) AS parent FROM sec s LEFT JOIN sec p ON p.doc_id = s.doc_id AND p.section < s.section AND p.level < s.level GROUP BY s.doc_id, s.section, s.level",
     "md_sections_general": f"WITH {_HEADED} SELECT s.doc_id, s.section, s.level, s.heading, s.content, max(p.section) AS parent FROM sec s LEFT JOIN sec p ON p.doc_id = s.doc_id AND p.section < s.section AND p.level < s.level GROUP BY ALL",
+    "chunk_json_string": _JSON, "lumber_lines": _LUMBER, "flatten_separators": _FLATTEN_SEPARATORS, "parsed_files": _PARSED,
+    "split_lines": f"WITH RECURSIVE {S.pack(_KEPT_LINES, 32, 0, chr(39) * 2)} SELECT k AS doc_id, CAST(row_number() OVER (PARTITION BY k ORDER BY st, en) - 1 AS BIGINT) AS pos, {S.words('content')} AS size, content FROM chunks",
     "md_collapse": f"""WITH d AS (SELECT doc_id, {S.words("'# ' || source || ' ' || CASE WHEN doc_id % 2 = 0 THEN text ELSE '' END")} AS own, {S.words("'## part ' || text")} AS child FROM documents)
      SELECT doc_id, CAST(0 AS BIGINT) AS section, CAST(1 AS BIGINT) AS level FROM d UNION ALL SELECT doc_id, 1, 2 FROM d WHERE least(own, child) >= 40""",
     "md_combine_small": _COMBINE, "list_markers": _MARKERS, "fenced_json": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN props END AS body FROM events",
