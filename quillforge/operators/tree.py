@@ -94,6 +94,13 @@ def find_all(nodes: DataFrame, ctype: str | None = None) -> DataFrame:
     return nodes.where(F.col("ctype") == ctype if ctype is not None else F.lit(False)).withColumn("step", F.row_number().over(Window.partitionBy("doc_id").orderBy("path")).cast("bigint"))
 
 
+def find_with_siblings(nodes: DataFrame, ctype: str) -> DataFrame:
+    """The nodes of a type and all that have the same parent as one of them, in preorder."""
+    up = nodes.where(F.col("ctype") == ctype).select(F.col("doc_id").alias("__d"), F.col("parent_id").alias("__p")).distinct()
+    hit = nodes.join(up, (F.col("doc_id") == F.col("__d")) & F.col("parent_id").eqNullSafe(F.col("__p")), "left_semi")
+    return hit.withColumn("step", F.row_number().over(Window.partitionBy("doc_id").orderBy("path")).cast("bigint"))
+
+
 def find_first(nodes: DataFrame, id_prefix: str | None = None, ctype: str | None = None) -> DataFrame:
     """(doc_id, chunk_id): each document's first node whose id begins so, or that is of the type."""
     hit = F.lit(False)
@@ -141,6 +148,22 @@ def merge_pairs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return both.select(*keep, same.alias("mimetype"), cat("content", "__content").alias("content"), cat("text", "__text").alias("text"), meta.alias("metadata"))
 
 
+def add_group(group: DataFrame, other: DataFrame) -> DataFrame:
+    """The members of two groups (root_id, group_ord, chunk_id): under each root the other's follow the group's own, numbered on; a root may be NULL."""
+    both = group.select("root_id", F.lit(0).alias("__g"), "group_ord", "chunk_id").unionByName(other.select("root_id", F.lit(1).alias("__g"), "group_ord", "chunk_id"))
+    place = F.row_number().over(Window.partitionBy("root_id").orderBy("__g", "group_ord")) - 1
+    return both.select("root_id", place.cast("bigint").alias("group_ord"), "chunk_id")
+
+
+def extend_group(group: DataFrame, chunks: DataFrame) -> DataFrame:
+    """chunks (chunk_id, ord) behind the members of a group with one root, or of an empty one, whose root is NULL. A group with several roots raises: say which with ``add_group``."""
+    roots = group.select("root_id").distinct().limit(2).collect()
+    if len(roots) > 1:
+        raise ValueError("the group has several roots; use add_group")
+    kind = dict(group.dtypes)["root_id"]
+    return add_group(group, chunks.select(F.lit(roots[0][0] if roots else None).cast(kind).alias("root_id"), F.col("ord").alias("group_ord"), "chunk_id"))
+
+
 def clone(nodes: DataFrame, tag: str, relations: bool = True, overrides: Mapping[str, Column] | None = None) -> DataFrame:
     """Copies with new ids made from the old ones and ``tag``; without ``relations`` they stand alone. Unknown columns raise."""
     unknown = set(overrides or {}) - set(nodes.columns)

@@ -86,18 +86,23 @@ def tree_add_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two groups one after another, numbered through, as (root_id, group_ord, chunk_id)."""
-    c = conv(spark, sf_dir).where("parent_id IS NOT NULL")
-    both = c.select("parent_id", F.lit(0).alias("g"), "ord", "chunk_id").unionByName(c.where("ctype = 'header'").select("parent_id", F.lit(1).alias("g"), "ord", "chunk_id"))
-    w = Window.partitionBy("parent_id").orderBy("g", "ord")
-    return both.select(F.col("parent_id").alias("root_id"), (F.row_number().over(w) - 1).cast("bigint").alias("group_ord"), "chunk_id")
+    """The turns of each conversation as a group, and those that are headers as another, one after the other."""
+    c = conv(spark, sf_dir).where("parent_id IS NOT NULL").select(F.col("parent_id").alias("root_id"), F.col("ord").alias("group_ord"), "chunk_id", "ctype")
+    return tree.add_group(c, c.where("ctype = 'header'"))
+
+
+def tree_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers and the turns beside them."""
+    return tree.find_with_siblings(conv(spark, sf_dir), "header").select("doc_id", "step", "chunk_id")
 
 
 def tree_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation's first two turns made one."""
-    c = conv(spark, sf_dir).where("parent_id IS NOT NULL").withColumn("metadata", F.create_map(F.lit("role"), F.get_json_object("metadata", "$.role")))
-    out = tree.merge_pairs(c.where("ord = 0"), c.where("ord = 1"), "doc_id")
-    return out.select("doc_id", "chunk_id", "mimetype", "content", F.col("metadata")["role"].alias("roles"))
+    """Each two turns of a conversation made one; a last one without another stays as it is."""
+    c = conv(spark, sf_dir).where("parent_id IS NOT NULL").withColumn("metadata", F.create_map(F.lit("role"), F.get_json_object("metadata", "$.role"))).withColumn("pair", F.concat("doc_id", F.lit("/"), F.floor(F.col("ord") / 2)))
+    out = tree.merge_pairs(c.where("ord % 2 = 0"), c.where("ord % 2 = 1"), "pair")
+    alone = c.where("ord % 2 = 0").join(c.where("ord % 2 = 1").select("pair"), "pair", "left_anti")
+    wanted = ["doc_id", "chunk_id", "mimetype", "content", F.col("metadata")["role"].alias("roles")]
+    return out.select(*wanted).unionByName(alone.select(*wanted))
 
 
 def tree_clone(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,8 +110,8 @@ def tree_clone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four empty divs, one in another, around each conversation's first turn: what is left is one node."""
-    first = conv(spark, sf_dir).where("parent_id IS NOT NULL AND ord = 0").select("doc_id", "content")
+    """Four empty divs, one in another, around each turn: what is left is one node."""
+    first = conv(spark, sf_dir).where("parent_id IS NOT NULL").select(F.col("chunk_id").alias("doc_id"), "content")
     levels = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.struct(
         F.concat(F.col("doc_id"), F.lit("-"), k.cast("string")).alias("chunk_id"), F.when(k > 0, F.concat(F.col("doc_id"), F.lit("-"), (k - 1).cast("string"))).alias("parent_id"), F.lit(0).alias("ord"),
         F.when(k == 4, "inline").otherwise("div").alias("ctype"), F.when(k == 4, F.col("content")).otherwise("").alias("content"), F.concat(F.lit('{"level": '), k.cast("string"), F.lit("}")).alias("metadata")))
@@ -124,7 +129,7 @@ def render_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def render_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = render.render_parts(conv(spark, sf_dir))
-    return out.select("doc_id", F.size("parts").cast("bigint").alias("n_parts"), F.col("parts")[0]["text"].alias("text"))
+    return out.select("doc_id", F.size("parts").cast("bigint").alias("n_parts"), F.array_join(F.transform("parts", lambda p: p["text"]), "|").alias("text"))
 
 
 def flatten_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +199,7 @@ _HTML = """SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(r
 
 
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headings and list items of the pages, parsed in full; (page_id, n_headers, first_header, n_items, items)."""
+    """Headings and list items of the pages, parsed in full; (page_id, n_headers, headers, n_items, items)."""
     from ..operators.arrow import flat_map
     from ..sources.formats import parse_html
 
@@ -202,14 +207,14 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         root = parse_html((row["html"] or "").encode(), "")
         heads = [n.own for _, n in root.walk() if n.ctype == "header"]
         items = [n.own for _, n in root.walk() if n.ctype == "inline"]
-        yield {"page_id": row["page_id"], "n_headers": len(heads), "first_header": heads[0] if heads else None, "n_items": len(items), "items": "|".join(items)}
+        yield {"page_id": row["page_id"], "n_headers": len(heads), "headers": "|".join(heads), "n_items": len(items), "items": "|".join(items)}
 
-    return flat_map(table(spark, sf_dir, "pages").select("page_id", "html"), one, "page_id bigint, n_headers bigint, first_header string, n_items bigint, items string")
+    return flat_map(table(spark, sf_dir, "pages").select("page_id", "html"), one, "page_id bigint, n_headers bigint, headers string, n_items bigint, items string")
 
 
 _UNESCAPE = "trim(regexp_replace(replace(replace(replace(replace({0}, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \\t]+', ' ', 'g'))"
 _BLOCKS = f"""WITH h AS (SELECT page_id, regexp_extract_all(html, '<h1>(.*?)</h1>', 1) AS heads, regexp_extract_all(html, '<li><a[^>]*>(.*?)</a></li>', 1) AS items FROM pages)
- SELECT page_id, CAST(len(heads) AS BIGINT) AS n_headers, {_UNESCAPE.format("heads[1]")} AS first_header, CAST(len(items) AS BIGINT) AS n_items, array_to_string(list_transform(items, lambda x: {_UNESCAPE.format("x")}), '|') AS items FROM h"""
+ SELECT page_id, CAST(len(heads) AS BIGINT) AS n_headers, array_to_string(list_transform(heads, lambda x: {_UNESCAPE.format("x")}), '|') AS headers, CAST(len(items) AS BIGINT) AS n_items, array_to_string(list_transform(items, lambda x: {_UNESCAPE.format("x")}), '|') AS items FROM h"""
 
 
 def html_render(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +228,7 @@ _C = f"WITH {CONV} "
 QUERIES = {
     "tree_walk": tree_walk, "tree_walk_conversations": tree_walk_conv, "tree_walk_from": tree_walk_from, "tree_links": tree_links, "tree_nav_next": _nav(next=1), "tree_nav_prev": _nav(prev=2), "tree_nav_parent": _nav(parent=2),
     "tree_nav_child": _nav(child=1), "tree_ends": tree_ends, "tree_subtree": tree_subtree, "tree_find_first": tree_find_first, "tree_find_all": tree_find_all, "tree_outline": tree_outline, "tree_add_children": tree_add_children,
-    "group_union": group_union, "tree_merge": tree_merge, "tree_clone": tree_clone, "tree_clean_unwrap": tree_clean, "render_plain": render_plain, "render_markdown": render_markdown, "render_multi": render_multi,
+    "group_union": group_union, "tree_siblings": tree_siblings, "tree_merge": tree_merge, "tree_clone": tree_clone, "tree_clean_unwrap": tree_clean, "render_plain": render_plain, "render_markdown": render_markdown, "render_multi": render_multi,
     "flatten_markdown": flatten_markdown, "flatten_unbounded": flatten_unbounded, "toc_group_by_header": toc_group, "toc_format": toc_format, "export_nodes": export_nodes, "export_dicts": export_dicts, "export_text_nodes": text_nodes,
     "text_leaves": text_leaves, "contextual_neighbours": contextual_neighbours, "directory_tree": directory_tree, "html_strip": html_strip, "html_blocks": html_blocks, "html_render": html_render,
 }
@@ -245,9 +250,10 @@ ORACLES = {
     "tree_outline": _M + "SELECT doc_id, repeat('    ', depth) || 'header: ' || left(content, 30) AS line FROM w WHERE ctype = 'header'",
     "tree_add_children": _C + "SELECT doc_id, chunk_id, CAST(ord AS BIGINT) AS ord, CAST(CASE WHEN parent_id IS NULL THEN 1 ELSE 2 END AS BIGINT) AS path_size, content FROM nodes UNION ALL SELECT doc_id, doc_id || '/note', max(ord) + 1, 2, 'end' FROM nodes WHERE parent_id IS NOT NULL GROUP BY doc_id",
     "group_union": _C + "SELECT parent_id AS root_id, row_number() OVER (PARTITION BY parent_id ORDER BY g, ord) - 1 AS group_ord, chunk_id FROM (SELECT parent_id, 0 AS g, ord, chunk_id FROM nodes WHERE parent_id IS NOT NULL UNION ALL SELECT parent_id, 1, ord, chunk_id FROM nodes WHERE ctype = 'header')",
-    "tree_merge": _C + "SELECT a.doc_id, a.chunk_id, 'text/plain' AS mimetype, a.content || b.content AS content, a.role || b.role AS roles FROM nodes a JOIN nodes b ON a.doc_id = b.doc_id AND a.parent_id IS NOT NULL AND b.parent_id IS NOT NULL AND a.ord = 0 AND b.ord = 1",
+    "tree_merge": _C + "SELECT a.doc_id, a.chunk_id, 'text/plain' AS mimetype, a.content || coalesce(b.content, '') AS content, a.role || coalesce(b.role, '') AS roles FROM nodes a LEFT JOIN nodes b ON a.doc_id = b.doc_id AND b.parent_id IS NOT NULL AND b.ord = a.ord + 1 WHERE a.parent_id IS NOT NULL AND a.ord % 2 = 0",
+    "tree_siblings": _C + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS step, chunk_id FROM nodes WHERE parent_id IS NOT NULL AND doc_id IN (SELECT doc_id FROM nodes WHERE ctype = 'header')",
     "tree_clone": _C + f"SELECT doc_id, {_CLONE.format('chunk_id')} AS chunk_id, {_CLONE.format('parent_id')} AS parent_id, 'div' AS ctype FROM nodes",
-    "tree_clean_unwrap": _C + """SELECT doc_id, doc_id || '-0' AS chunk_id, 'div' AS ctype, 'text/markdown' AS mimetype, content, '{"level": 4}' AS metadata, CAST(0 AS BIGINT) AS depth FROM nodes WHERE parent_id IS NOT NULL AND ord = 0""",
+    "tree_clean_unwrap": _C + """SELECT chunk_id AS doc_id, chunk_id || '-0' AS chunk_id, 'div' AS ctype, 'text/markdown' AS mimetype, content, '{"level": 4}' AS metadata, CAST(0 AS BIGINT) AS depth FROM nodes WHERE parent_id IS NOT NULL""",
     "render_plain": _C + f"SELECT doc_id, string_agg({S.strip('content')}, chr(10) || chr(10) ORDER BY ord) AS rendered FROM nodes WHERE parent_id IS NOT NULL AND {S.strip('content')} <> '' GROUP BY doc_id",
     "render_markdown": _M + "SELECT doc_id, string_agg(CASE WHEN ctype = 'header' THEN repeat('#', depth + 1) || ' ' || content ELSE content END, chr(10) || chr(10) ORDER BY path) AS rendered FROM w GROUP BY doc_id",
     "render_multi": _C + "SELECT doc_id, CAST(1 AS BIGINT) AS n_parts, string_agg(content, chr(10) || chr(10) ORDER BY ord) AS text FROM nodes WHERE parent_id IS NOT NULL AND content <> '' GROUP BY doc_id",

@@ -57,3 +57,15 @@ def test_toc(spark):
     assert got == {("p0", None, 0), ("h0", None, 1), ("h1", None, 2), ("p1", "h0", 0), ("p2", "h1", 0)}
     said = spark.createDataFrame([("# ID `0`\n## ID `2`\nnoise",)], "a string").select(toc.parse_levels(F.col("a")).alias("x")).first().x
     assert [(x.id, x.level) for x in said] == [(0, 1), (2, 2)]
+
+
+def test_groups(spark):
+    kind = "root_id string, group_ord bigint, chunk_id string"
+    one, two = spark.createDataFrame([("r", 0, "a"), ("r", 1, "b")], kind), spark.createDataFrame([("r", 0, "c"), ("s", 0, "d"), (None, 0, "e")], kind)
+    both = tree.add_group(one, two)
+    assert {(r.root_id, r.group_ord, r.chunk_id) for r in both.collect()} == {("r", 0, "a"), ("r", 1, "b"), ("r", 2, "c"), ("s", 0, "d"), (None, 0, "e")}
+    new = spark.createDataFrame([("x", 0), ("y", 1)], "chunk_id string, ord bigint")
+    assert {(r.root_id, r.group_ord, r.chunk_id) for r in tree.extend_group(one, new).collect()} == {("r", 0, "a"), ("r", 1, "b"), ("r", 2, "x"), ("r", 3, "y")}
+    assert {(r.root_id, r.group_ord) for r in tree.extend_group(one.limit(0), new).collect()} == {(None, 0), (None, 1)}
+    with pytest.raises(ValueError):
+        tree.extend_group(both, new)
