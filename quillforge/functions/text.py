@@ -28,7 +28,7 @@ def collapse_space(text: Column) -> Column:
 
 
 def quote_regex(s: str) -> str:
-    return r"\Q" + s + r"\E"
+    return r"\Q" + s.replace(r"\E", r"\E\\E\Q") + r"\E"
 
 
 def split_keep(text: Column, separator: str, keep: str | None) -> Column:

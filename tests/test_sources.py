@@ -151,3 +151,25 @@ def test_stream(spark, folder, tmp_path_factory):
     (folder / "again.md").write_bytes(b"# H\n\ntext\n")
     assert run()
     assert spark.read.parquet(f"{out}/nodes").where("ctype = 'root'").count() == 8
+
+
+@pytest.mark.parametrize("kind", ["file", "memory"])
+def test_store_groups_deletes_and_links(spark, tmp_path, kind):
+    s = store.ChunkStore(spark, str(tmp_path / "g")) if kind == "file" else store.MemoryStore(spark)
+    with pytest.raises(ValueError):
+        s.nodes()
+    rows = [("d", "r", None, [0], b"x"), ("d", "a", "r", [0, 0], None), ("d", "a1", "a", [0, 0, 0], b"y"), ("d", "b", "r", [0, 1], None), ("e", "z", None, [0], None)]
+    nodes = spark.createDataFrame(rows, "doc_id string, chunk_id string, parent_id string, path array<int>, content_bytes binary")
+    s.save_group(spark.createDataFrame([("r", 0, "a"), ("r", 1, "b")], "root_id string, group_ord bigint, chunk_id string"), nodes)
+    assert {r.chunk_id for r in s.nodes().collect()} == {"a", "a1", "b"}
+    s.save(nodes, 1)
+    assert s.nodes().count() == 5 and {r.chunk_id: r.content_bytes for r in s.content(s.nodes()).where("content_bytes IS NOT NULL").collect()} == {"r": bytearray(b"x"), "a1": bytearray(b"y")}
+    assert {r.chunk_id: r.to_chunk_id for r in store.linked(s.nodes(), "parent_id", s).collect()} == {"r": None, "a": "r", "a1": "a", "b": "r", "z": None}
+    with pytest.raises(ValueError):
+        store.linked(nodes, "parent_id", None)
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "chunk_id string")
+    s.delete(ids("a", "nobody"), cascade=True, round_no=1)
+    assert {r.chunk_id for r in s.nodes().collect()} == {"r", "b", "z"} and not s.contains("a1")
+    s.delete(ids("r"), round_no=1)
+    s.save(nodes.where("chunk_id = 'a'"), 2)
+    assert {r.chunk_id for r in s.nodes().collect()} == {"a", "b", "z"}

@@ -3,7 +3,9 @@ from __future__ import annotations
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from quillforge.functions import text
 from quillforge.functions.splitting import JSON_MARKS, default_separators, pack, split_keep, split_recursive, split_repacked, word_len
 
 
@@ -56,3 +58,8 @@ def test_pack_is_bounded_but_for_single_pieces(pieces, size, overlap):
 def test_json_marks_keep_the_text():
     text = '[{"k": 1}, {"k": [2, 3]}, {"z": "q"}]'
     assert "".join(split_recursive(text, JSON_MARKS, 3, 0, "end", False, len)).replace(" ", "") == text.replace(" ", "")
+
+
+def test_separators_with_end_signs(spark):
+    t = spark.createDataFrame([("a\\Eb\\E.c",)], "t string")
+    assert t.select(text.split_keep(F.col("t"), "\\E", None).alias("p")).first().p == ["a", "b", ".c"]
