@@ -50,6 +50,24 @@ def test_planted_cases(spark, tmp_path):
     assert whole == {i: r.piece_ids for i, r in last.items()}
 
 
+def test_edges(spark, tmp_path, docs):
+    """An empty table; repeated ids and rows; rows without id or text; a very long text; columns of inner names; no labels and no benchmark."""
+    rng = random.Random(4)
+    one, two, long = " ".join(words(rng, 60)), " ".join(words(rng, 60)), " ".join(words(rng, 30_000))
+    rows = [(1, one), (1, one), (5, one), (5, two), (None, one), (7, None), (8, ""), (9, long), (10, "!"), (None, None)]
+    for name, table in (("some", docs(rows)), ("none", docs([]))):
+        at = f"{tmp_path}/{name}"
+        table.write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{at}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, at)
+        assert out.columns == [*table.columns, "piece_ids", "decoded"]
+        got = sorted(((r.doc_id, r.text, r.decoded, r["__id"]) for r in out.collect()), key=str)
+        kept = [r for r in rows if r != (5, one)] if name == "some" else []
+        before = {r["__id"] for r in table.collect()}
+        assert [(i, t) for i, t, _, _ in got] == sorted(kept, key=str) and all(t == d for _, t, d, _ in got) and {x for *_, x in got} == (before if kept else set())
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
