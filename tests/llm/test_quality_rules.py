@@ -67,3 +67,67 @@ def test_edges(spark, docs):
     assert Q.judge(docs([]), rules).count() == 0
     assert Q.fit(t, labels.limit(0)) == [] and Q.fit(t, labels.where("quality = 1")) == []
     assert all(r.keep for r in Q.judge(docs(rows), []).collect())
+
+
+def naive_list(rows, bad, seed=1):
+    """Sequential covering over rows (dicts) in plain Python: the rules as tuples of (statistic, above, cut)."""
+    import math
+
+    rng = np.random.default_rng(seed)
+    holds = lambda r, c: (r[c[0]] >= c[2]) == c[1]
+    covered = lambda rule, ids: [i for i in ids if all(holds(rows[i], c) for c in rule)]
+    left, rules = list(range(len(rows))), []
+    while sum(bad[i] for i in left) >= Q.MIN_COVER:
+        draw = rng.random(len(left)) < 2 / 3
+        growing, pruning = [i for i, d in zip(left, draw, strict=True) if d], [i for i, d in zip(left, draw, strict=True) if not d]
+        rule, ids = [], growing
+        while len(rule) < Q.MAX_CONDITIONS:
+            p0 = sum(bad[i] for i in ids)
+            n0 = len(ids) - p0
+            if not p0 or not n0:
+                break
+            best = (1e-9, None)
+            for s in Q.STATS:
+                values = sorted({rows[i][s] for i in ids})
+                for a, b in zip(values, values[1:], strict=False):
+                    for above in (True, False):
+                        c = (s, above, (a + b) / 2)
+                        hit = [i for i in ids if holds(rows[i], c)]
+                        p = sum(bad[i] for i in hit)
+                        if p:
+                            gain = p * (math.log2(p / len(hit)) - math.log2(p0 / len(ids)))
+                            if gain > best[0] + 1e-12:
+                                best = (gain, c)
+            if best[1] is None:
+                break
+            rule.append(best[1])
+            ids = covered(rule, ids)
+        if not rule:
+            break
+        chosen = None
+        for k in range(1, len(rule) + 1):
+            hit = covered(rule[:k], pruning)
+            p = sum(bad[i] for i in hit)
+            worth = (2 * p - len(hit)) / len(hit) if hit else -1.0
+            if chosen is None or worth >= chosen[0]:
+                chosen = (worth, rule[:k], p / len(hit) if hit else 0.0, p)
+        if chosen[2] < Q.MIN_PRECISION or chosen[3] < 1:
+            break
+        rules.append(tuple(chosen[1]))
+        gone = set(covered(chosen[1], left))
+        left = [i for i in left if i not in gone]
+    return rules
+
+
+def test_learner_against_plain_python():
+    """Small whole numbers, so equal gains and equal values are common."""
+    found = 0
+    for seed in range(12):
+        rng = random.Random(seed)
+        rows = [{s: float(rng.randint(0, 6)) for s in Q.STATS} for _ in range(90)]
+        bad = [(r["n_words"] >= 4 and r["digit_share"] < 3) or r["space_share"] >= 6 for r in rows]
+        bad = [b != (rng.random() < 0.03) for b in bad]
+        got = Q.learn({s: np.array([r[s] for r in rows]) for s in Q.STATS}, np.array(bad))
+        assert [tuple((c.stat, c.above, c.cut) for c in rule) for rule in got] == naive_list(rows, bad), seed
+        found += len(got)
+    assert found > 10
