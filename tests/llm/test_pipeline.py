@@ -5,6 +5,7 @@ import random
 import corpus_pipeline
 
 from .conftest import words
+from .test_substring_dedup import all_pairs, many_parts
 
 
 def write(spark, path, rows, labels, bench):
@@ -73,3 +74,10 @@ def test_queries_are_registered():
 
     found = __spark_entry__.queries()
     assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in found if k.startswith("op") and k[2].isdigit()} and "pipeline" in found
+
+
+def test_repeats_are_cut_as_by_all_pairs(spark, docs):
+    rows = many_parts()
+    due = all_pairs(rows)
+    left = {r.doc_id: len(r.text.split()) for r in corpus_pipeline.cut_repeats(spark, docs(rows), "").collect()}
+    assert left == {i: len(text.split()) - len(due[i][0] if i in due else ()) for i, text in rows}
