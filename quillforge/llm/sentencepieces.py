@@ -287,28 +287,49 @@ class Dictionary:
 
 
 def split_dictionary(coded: DataFrame, limit: int = DICTIONARY_BYTES) -> tuple[Dictionary, DataFrame | None]:
-    """The most frequent units, within ``limit`` bytes, for the executors, and the others' table if there are others."""
-    cost = F.sum(F.lit(12) + 4 * F.size("ids"))
-    by = sorted(((r["n"], r["b"]) for r in coded.groupBy("n").agg(cost.alias("b")).toArrow().to_pylist()), reverse=True)
-    total, least = 0, None
-    for n, b in by:
-        if total + b > limit:
+    """The most frequent units, within ``limit`` bytes, for the executors, and the others' table if there are others. They come packed, one partition at a time, so
+    the driver holds little besides the dictionary itself."""
+    sums = coded.groupBy("n").agg(F.count("*").alias("c"), F.sum(F.size("ids")).alias("s"), F.max(F.array_max("ids")).alias("top"))
+    by = sorted((r["n"], r["c"], r["s"], r["top"] or 0) for r in sums.toArrow().to_pylist())[::-1]
+    total, least, units, size, top = 0, None, 0, 0, 0
+    for n, c, s, t in by:
+        total += 12 * c + 4 * s
+        if total > limit:
             break
-        total, least = total + b, n
+        least, units, size, top = n, units + c, size + s, max(top, t)
     every = bool(by) and least == by[-1][0]
-    got = (coded if every or least is None else coded.where(F.col("n") >= least)).select("h", "ids")
-    if least is None:
-        got = got.limit(0)
-    t = got.toArrow().combine_chunks()
-    h = np.asarray(t.column("h"), dtype=np.int64).view(np.uint64) if t.num_rows else np.zeros(0, np.uint64)
-    order = np.argsort(h)
-    lists = (t.column("ids").combine_chunks() if t.num_rows else pa.array([], pa.list_(pa.int32()))).take(pa.array(order))
-    ids = np.asarray(lists.flatten())
-    small = np.uint16 if not len(ids) or ids.max() < 1 << 16 else np.int32
-    d = Dictionary(h[order], np.asarray(lists.offsets, dtype=np.int32), ids.astype(small))
+    small = np.uint16 if top < 1 << 16 else np.int32
+    h, first, ids = np.empty(units, np.uint64), np.zeros(units + 1, np.int32), np.empty(size, small)
+    at = begin = 0
+    if least is not None:
+        for r in _packed(coded if every else coded.where(F.col("n") >= least), small).toLocalIterator():
+            own, sizes, pieces = np.frombuffer(r["h"], np.uint64), np.frombuffer(r["sizes"], np.int32), np.frombuffer(r["ids"], small)
+            h[at : at + len(own)], first[at + 1 : at + 1 + len(own)], ids[begin : begin + len(pieces)] = own, sizes, pieces
+            at, begin = at + len(own), begin + len(pieces)
+    sizes = first[1:].copy()
+    np.cumsum(sizes, out=first[1:])
+    order = np.argsort(h).astype(np.int32)
+    d = Dictionary(h[order], np.zeros(units + 1, np.int32), np.empty_like(ids))
+    np.cumsum(sizes[order], out=d.first[1:])
+    for lo in range(0, units, 1 << 17):  # the pieces' places take eight times the bytes
+        some = order[lo : lo + (1 << 17)]
+        n = sizes[some].astype(np.int64)
+        take = np.arange(n.sum()) + np.repeat(first[some] - (np.cumsum(n) - n), n)
+        d.ids[d.first[lo] : d.first[lo + len(some)]] = ids[take]
     return d, None if every or not by else (coded if least is None else coded.where(F.col("n") < least)).select("h", "ids")
 
 
+def _packed(coded: DataFrame, kind: type) -> DataFrame:
+    """(h, sizes, ids): the hashes, numbers of pieces and pieces of many units as the bytes of arrays."""
+
+    def run(batch: pa.RecordBatch):
+        ids = batch.column("ids")
+        sizes, pieces = np.asarray(pc.list_value_length(ids), dtype=np.int32), np.asarray(ids.flatten()).astype(kind)
+        yield {"h": pa.array([np.asarray(batch.column("h"), dtype=np.int64).tobytes()]), "sizes": pa.array([sizes.tobytes()]), "ids": pa.array([pieces.tobytes()])}
+
+    return arrow_map(coded.select("h", "ids"), run, "h binary, sizes binary, ids binary")
+
+
 def code_slice(model: PieceModel, d: Dictionary, raw: np.ndarray, raw_offs: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
     """The pieces of each text and, where units aren't in the dictionary, -1 - k for the k-th entry of the text's list of missing units."""
     data, start, end, first = units_of(model, raw, raw_offs)

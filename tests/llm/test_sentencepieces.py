@@ -88,3 +88,23 @@ def test_merges_against_simulation():
     for n in range(1, 8):
         for w in itertools.product(b"abc", repeat=n):
             assert [m.tokens[t] for t in m.encode(bytes(w))] == simulate(bytes(w))
+
+
+def test_the_dictionary_comes_to_the_driver_in_parts(spark, monkeypatch):
+    table = spark.range(60_000, numPartitions=12).selectExpr("xxhash64(id) AS h", "id % 5 + 1 AS n", "transform(sequence(0, cast(id % 3 AS int)), k -> cast(id % 900 + k AS int)) AS ids")
+    kind, got = type(table), []
+    whole, parts = kind.toArrow, kind.toLocalIterator
+
+    def note(size, x):
+        got.append(size)
+        return x
+
+    monkeypatch.setattr(kind, "toArrow", lambda self: note((x := whole(self)).nbytes, x))
+    monkeypatch.setattr(kind, "toLocalIterator", lambda self, **kw: (note(sum(map(len, r)), r) for r in parts(self, **kw)))
+    d, others = S.split_dictionary(table)
+    size = d.keys.nbytes + d.first.nbytes + d.ids.nbytes
+    assert others is None and len(d.keys) == 60_000 and max(got) < size / 6
+    due = {r.h % (1 << 64): r.ids for r in table.collect()}
+    assert all(due[int(k)] == d.ids[a:b].tolist() for k, a, b in zip(d.keys, d.first[:-1], d.first[1:], strict=True)) and (d.keys[1:] > d.keys[:-1]).all()
+    d, others = S.split_dictionary(table, 12_000 * (12 + 4 * 2))
+    assert len(d.keys) == 12_000 and others.count() == 48_000
