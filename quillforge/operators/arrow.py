@@ -13,13 +13,13 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 Row = dict
 
 
-def _target(schema: str | StructType) -> pa.Schema:
+def arrow_schema(schema: str | StructType) -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
 
 def flat_map(df: DataFrame, fn: Callable[[Row], Iterable[Row]], schema: str, rows_at_once: int = 2000) -> DataFrame:
     """Rows of ``schema`` from each row of df, batch by batch, without a shuffle."""
-    target = _target(schema)
+    target = arrow_schema(schema)
 
     def run(batches):
         for batch in batches:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from statistics import median
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import per_group
+from .arrow import arrow_schema
 
 BOX = ("x1", "y1", "x2", "y2")
 #: Lines go to the first class of this order that holds them.
@@ -70,9 +69,14 @@ def union_box(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df as a side of a join by sorting. Spark guesses the size of boxes, lines and usual values from the files they are made from, which may be many times less, and would send them through the driver to every executor."""
+    return df.hint("merge")
+
+
 def _pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """All pairs of a page; right's columns get the prefix b_."""
-    r = right.select(*[F.col(c).alias("b_" + c) for c in right.columns])
+    r = spread(right.select(*[F.col(c).alias("b_" + c) for c in right.columns]))
     cond = None
     for k in keys:
         c = F.col(k) == F.col("b_" + k)
@@ -92,13 +96,13 @@ def assign_lines(lines: DataFrame, blocks: DataFrame, keys: list[str], line_id:
 
 def leftover_lines(lines: DataFrame, blocks: DataFrame, keys: list[str], line_id: str, least: float = 0.3) -> DataFrame:
     """Lines that no block takes: those that none covers by more than ``least`` and those out of the page."""
-    return lines.join(assign_lines(lines, blocks, keys, line_id, least).select(*keys, line_id), [*keys, line_id], "left_anti").select(*lines.columns)
+    return lines.join(spread(assign_lines(lines, blocks, keys, line_id, least).select(*keys, line_id)), [*keys, line_id], "left_anti").select(*lines.columns)
 
 
 def outside(lines: DataFrame, blocks: DataFrame, keys: list[str], line_id: str) -> DataFrame:
     """Lines that overlap with no block."""
     hit = _pairs(lines, blocks, keys).where(overlaps(box(), box("b_"))).select(*keys, line_id).distinct()
-    return lines.join(hit, [*keys, line_id], "left_anti").select(*lines.columns)
+    return lines.join(spread(hit), [*keys, line_id], "left_anti").select(*lines.columns)
 
 
 def best_box(lines: DataFrame, boxes: DataFrame, keys: list[str], line_id: str) -> DataFrame:
@@ -112,16 +116,16 @@ def merge_tables(blocks: DataFrame, lines: DataFrame, tables: DataFrame, keys: l
     """(keys, place, kind, item, text, x1, y1, x2, y2): blocks of text and tables in reading order. blocks and tables: keys, block_id, box; blocks have a text; lines: keys, block_id, ord, text, box.
     A block that meets a table loses the lines that meet one, is rebuilt from the others, and goes where none is left; each table follows the first block that it meets (kind 1), one that meets none is left out. One task holds no more than the lines of a block."""
     t = tables.select(*keys, F.col("block_id").alias("table_id"), *[F.col(c).alias("t_" + c) for c in BOX])
-    met = blocks.select(*keys, "block_id", *BOX).join(t, keys).where(overlaps(box(), box("t_"))).select(*keys, "block_id", "table_id", *["t_" + c for c in BOX])
+    met = blocks.select(*keys, "block_id", *BOX).join(spread(t), keys).where(overlaps(box(), box("t_"))).select(*keys, "block_id", "table_id", *["t_" + c for c in BOX])
     touched = met.select(*keys, "block_id").distinct()
-    gone = lines.join(met, [*keys, "block_id"]).where(overlaps(box(), box("t_"))).select(*keys, "block_id", "ord").distinct()
-    left = lines.join(touched, [*keys, "block_id"], "left_semi").join(gone, [*keys, "block_id", "ord"], "left_anti")
+    gone = lines.join(spread(met), [*keys, "block_id"]).where(overlaps(box(), box("t_"))).select(*keys, "block_id", "ord").distinct()
+    left = lines.join(spread(touched), [*keys, "block_id"], "left_semi").join(spread(gone), [*keys, "block_id", "ord"], "left_anti")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ")
     rebuilt = left.groupBy(*keys, "block_id").agg(joined.alias("text"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
-    kept = blocks.join(touched, [*keys, "block_id"], "left_anti").select(*keys, "block_id", "text", *BOX).unionByName(rebuilt)
+    kept = blocks.join(spread(touched), [*keys, "block_id"], "left_anti").select(*keys, "block_id", "text", *BOX).unionByName(rebuilt)
     texts = kept.select(*keys, F.col("block_id").cast("bigint").alias("place"), F.lit(0).alias("kind"), F.col("block_id").cast("bigint").alias("item"), "text", *BOX)
     first = met.groupBy(*keys, "table_id").agg(F.min("block_id").alias("place"))
-    own = tables.select(*keys, F.col("block_id").alias("table_id"), *BOX).join(first, [*keys, "table_id"])
+    own = tables.select(*keys, F.col("block_id").alias("table_id"), *BOX).join(spread(first), [*keys, "table_id"])
     own = own.select(*keys, F.col("place").cast("bigint").alias("place"), F.lit(1).alias("kind"), F.col("table_id").cast("bigint").alias("item"), F.lit(None).cast("string").alias("text"), *BOX)
     return texts.unionByName(own)
 
@@ -137,7 +141,7 @@ def reading_order(blocks: DataFrame, spans: DataFrame, keys: list[str]) -> DataF
     """(keys, block_id, last_span, place): blocks by their last span's number; those without one are first (-1), ties by class, then number."""
     last = spans.groupBy(*keys, "block_id").agg(F.max("ord").alias("__last"))
     rank = _class_rank("class")
-    out = blocks.join(last, [*keys, "block_id"], "left").withColumn("last_span", F.coalesce(F.col("__last"), F.lit(-1)).cast("bigint"))
+    out = blocks.join(spread(last), [*keys, "block_id"], "left").withColumn("last_span", F.coalesce(F.col("__last"), F.lit(-1)).cast("bigint"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("last_span", rank, "block_id")) - 1
     return out.select(*keys, "block_id", "last_span", place.cast("bigint").alias("place"))
 
@@ -154,8 +158,8 @@ def font_size(size: Column, name: Column, b: list[Column], rotation: Column, tex
 
 def first_pages(df: DataFrame, doc: str = "doc_id", page: str = "page", pages: int = MODE_PAGES) -> DataFrame:
     """The rows of each document's first pages: what the usual font size and weight are taken from."""
-    firsts = df.select(doc, page).distinct().groupBy(doc).agg(F.slice(F.array_sort(F.collect_set(page)), 1, pages).alias("__p"))
-    return df.join(firsts, doc).where(F.array_contains("__p", F.col(page))).drop("__p")
+    rank = F.dense_rank().over(Window.partitionBy(doc).orderBy(page))
+    return df.where(F.col(doc).isNotNull() & F.col(page).isNotNull()).withColumn("__p", rank).where(F.col("__p") <= pages).drop("__p")
 
 
 def mode_of(df: DataFrame, keys: list[str], value: Column, default: int) -> DataFrame:
@@ -164,9 +168,32 @@ def mode_of(df: DataFrame, keys: list[str], value: Column, default: int) -> Data
     return n.groupBy(*keys).agg(F.coalesce(F.max_by("__v", F.struct(F.col("__n"), -F.col("__v"))), F.lit(default)).alias("mode"))
 
 
+def most_frequent(values: Column, default: int) -> Column:
+    """The most frequent of an array's values, rounded half to even, the least on ties: ``mode_of`` of one array."""
+    whole = F.array_sort(F.filter(F.transform(values, lambda v: F.bround(v).cast("bigint")), lambda v: v.isNotNull()))
+    none, zero = F.lit(None).cast("bigint"), F.lit(0)
+
+    def step(a: Column, v: Column) -> Column:
+        n = F.when(a["last"] == v, a["n"] + 1).otherwise(F.lit(1))
+        more = n > a["most"]
+        return F.struct(v.alias("last"), n.alias("n"), F.when(more, v).otherwise(a["best"]).alias("best"), F.when(more, n).otherwise(a["most"]).alias("most"))
+
+    return F.coalesce(F.aggregate(whole, F.struct(none.alias("last"), zero.alias("n"), none.alias("best"), zero.alias("most")), step, lambda a: a["best"]), F.lit(default))
+
+
+def with_usual(spans: DataFrame, doc: str, page: str, usual: dict[str, tuple[Column, int]], pages: int = MODE_PAGES) -> DataFrame:
+    """spans with a column for each of ``usual`` (value, default): its most frequent value over the document's first pages. Documents are gathered, and laid out again: no join, and no shuffle of spans that lie by document. Rows without a document or page go."""
+    cells = F.collect_list(F.struct(*[c for c in spans.columns if c != doc], *[v.alias(f"__{k}") for k, (v, _) in usual.items()]))
+    docs = spans.where(F.col(doc).isNotNull() & F.col(page).isNotNull()).groupBy(doc).agg(cells.alias("__s"))
+    last = F.try_element_at(F.slice(F.array_sort(F.array_distinct(F.col("__s")[page])), 1, pages), F.lit(-1))
+    first = docs.withColumn("__last", last).withColumn("__f", F.filter("__s", lambda x: x[page] <= F.col("__last")))
+    modes = [most_frequent(F.col("__f")[f"__{k}"], d).alias(k) for k, (_, d) in usual.items()]
+    return first.select(doc, "__s", *modes).select(doc, F.inline("__s"), *usual).select(*spans.columns, *usual)
+
+
 def emphasis_flags(spans: DataFrame, modes: DataFrame, keys: list[str], line_keys: list[str]) -> DataFrame:
     """(line_keys, bold, italic): lines whose spans with text are all heavier than the usual weight (at least 350), or all of a slanted font."""
-    both = spans.join(modes, keys)
+    both = spans.join(spread(modes), keys)
     some = F.trim("text") != ""
     bold = F.col("font_weight") > F.greatest(F.col("mode"), F.lit(DEFAULT_FONT_WEIGHT))
     italic = F.lower(F.coalesce("font_name", F.lit(""))).contains("ital")
@@ -205,7 +232,7 @@ def empty_blocks(blocks: DataFrame, lines: DataFrame, assigned: DataFrame, keys:
     """blocks with n_lines, how many lines they took, and is_empty: they took none, and no line of the page is covered by more than ``least`` either."""
     took = assigned.groupBy(*keys, "block_id").agg(F.count("*").alias("__n"))
     covered = _pairs(lines, blocks, keys).where(overlap_ratio(box("b_"), box()) > least).select(*keys, F.col("b_block_id").alias("block_id"), F.lit(True).alias("__c")).distinct()
-    out = blocks.join(took, [*keys, "block_id"], "left").join(covered, [*keys, "block_id"], "left")
+    out = blocks.join(spread(took), [*keys, "block_id"], "left").join(spread(covered), [*keys, "block_id"], "left")
     return out.withColumn("n_lines", F.coalesce("__n", F.lit(0))).withColumn("is_empty", (F.col("n_lines") == 0) & F.col("__c").isNull()).drop("__n", "__c")
 
 
@@ -221,31 +248,39 @@ def _bare(text: str) -> str:
     return text.replace("\r", "").replace("\n", "")
 
 
-def _fits(s: dict) -> bool:
-    w, h = s["x2"] - s["x1"], s["y2"] - s["y1"]
-    return w > 0 and h > 0 and len(s["text"]) > 0 and (w / h > 1 or len(s["text"]) < MIN_SPAN_CHARS)
+def _median(values: list[float]) -> float:
+    values.sort()
+    k = len(values) // 2
+    return values[k] if len(values) % 2 else (values[k - 1] + values[k]) / 2
 
 
 def grid_text(spans: list[dict], w_mult: float = WIDE, h_mult: float = HIGH, rescale: bool = False, break_lines: bool = True, only_fitting: bool = True, strip: bool = True, by_place: bool = False) -> str:
     """Spans (text, x1, y1, x2, y2; with lines also line, the line's number, and line_y2, its foot) as text that keeps the layout: rows and columns of a grid by the median character. A span that would
     overlap what stands in its row makes the grid finer (``rescale``) or, where lines are given, begins another line (``break_lines``)."""
-    lined = any(s.get("line") is not None for s in spans)
-    kept, seen = [], set()
-    for s in spans:
-        starts = s.get("line") not in seen
-        seen.add(s.get("line"))
-        if not (lined and not _bare(s["text"]).strip()) and (not only_fitting or _fits(s)):
-            kept.append((s, starts))
+    cells = [(s["text"], s["x1"], s["y1"], s["x2"], s["y2"], s.get("line"), s.get("line_y2")) for s in spans]
+    return grid_cells(cells, w_mult, h_mult, rescale, break_lines, only_fitting, strip, by_place)
+
+
+def grid_cells(cells: list[tuple], w_mult: float = WIDE, h_mult: float = HIGH, rescale: bool = False, break_lines: bool = True, only_fitting: bool = True, strip: bool = True, by_place: bool = False) -> str:
+    """``grid_text`` of tuples (text, x1, y1, x2, y2, line, line_y2)."""
+    lined = any(c[5] is not None for c in cells)
+    kept, seen, widths, heights = [], set(), [], []
+    for text, x1, y1, x2, y2, line, foot in cells:
+        starts = line not in seen
+        seen.add(line)
+        w, h, n = x2 - x1, y2 - y1, len(text)
+        if not (lined and not _bare(text).strip()) and (not only_fitting or (w > 0 and h > 0 and n > 0 and (w / h > 1 or n < MIN_SPAN_CHARS))):
+            kept.append((text, x1, y2 if foot is None else foot, starts))
+            widths.append(w / n)
+            heights.append(h)
     if not kept:
         return ""
-    wide = median((s["x2"] - s["x1"]) / len(s["text"]) for s, _ in kept)
-    high = median(s["y2"] - s["y1"] for s, _ in kept)
-    foot = lambda s: s["line_y2"] if s.get("line_y2") is not None else s["y2"]
-    left, top = min(s["x1"] for s, _ in kept), min(foot(s) for s, _ in kept)
+    wide, high = _median(widths), _median(heights)
     if wide <= 0 or high <= 0:
-        return " ".join(s["text"] for s, _ in kept)
+        return " ".join(c[0] for c in kept)
+    left, top = min(c[1] for c in kept), min(c[2] for c in kept)
     while True:
-        text = _grid(kept, left, top, wide * w_mult, high * h_mult, rescale, lined and break_lines, strip, by_place, foot)
+        text = _grid(kept, left, top, wide * w_mult, high * h_mult, rescale, lined and break_lines, strip, by_place)
         if text is not None:
             return text
         if w_mult - SHRINK >= LEAST_WIDE:
@@ -256,17 +291,17 @@ def grid_text(spans: list[dict], w_mult: float = WIDE, h_mult: float = HIGH, res
             rescale = False
 
 
-def _grid(kept, left, top, wide, high, rescale, break_lines, strip, by_place, foot) -> str | None:
+def _grid(kept, left, top, wide, high, rescale, break_lines, strip, by_place) -> str | None:
     """None where a conflict asks for a finer grid."""
-    rows: dict[int, list[tuple[int, dict, bool]]] = {}
-    for s, starts in kept:
-        rows.setdefault(round((foot(s) - top) / high), []).append((round((s["x1"] - left) / wide), s, starts))
+    rows: dict[int, list[tuple[int, str, bool]]] = {}
+    for text, x1, foot, starts in kept:
+        rows.setdefault(round((foot - top) / high), []).append((round((x1 - left) / wide), text, starts))
     out: list[str] = []
     for y in sorted(rows):
         out += [""] * (y - len(out))
         line = ""
-        for x, s, starts in sorted(rows[y], key=lambda r: r[0]) if by_place else rows[y]:
-            text = _bare(s["text"])
+        for x, raw, starts in sorted(rows[y], key=lambda r: r[0]) if by_place else rows[y]:
+            text = _bare(raw)
             if x < len(line) - CONFLICT and text.strip():
                 if rescale:
                     return None
@@ -299,28 +334,52 @@ def layout_text(spans: DataFrame, keys: list[str], rescale: bool = False, column
     """(keys, rendered): the spans (ord, text, x1, y1, x2, y2; line and line_y2 where there are lines) of each group as laid-out text."""
     kinds = dict(spans.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", rendered string"
+    target = arrow_schema(schema)
+    cell = F.struct("ord", "text", *BOX, *[F.col(c) if c in spans.columns else F.lit(None).alias(c) for c in ("line", "line_y2")])
+    shown = (F.col("text") != "") & ~F.greatest(*[F.isnull(c) for c in BOX])
+    pages = spans.where(shown).groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("__rows"))
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.column(len(keys))
+            ends = rows.offsets.to_pylist()
+            cells = list(zip(*[c.to_pylist() for c in rows.values.flatten()[1:]], strict=True))
+            drawn = [collapse_blanks(grid_cells(cells[lo:hi], rescale=rescale, break_lines=break_lines), True, columns) for lo, hi in zip(ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keys))], pa.array(drawn, pa.string())], schema=target)
+
+    return pages.mapInArrow(run, schema)
+
 
-    def one(rows: list[dict]):
-        rows = sorted((r for r in rows if r["text"] and all(r[c] is not None for c in BOX)), key=lambda r: r["ord"])
-        if rows:
-            yield {**{k: rows[0][k] for k in keys}, "rendered": collapse_blanks(grid_text(rows, rescale=rescale, break_lines=break_lines), True, columns)}
+def _marks(bold: Column, italic: Column) -> Column:
+    return F.when(bold & italic, "***").when(bold, "**").when(italic, "*").otherwise("")
 
-    return per_group(spans, keys, one, schema)
+
+def marked_lines(spans: DataFrame, bold: Column, line_keys: list[str], more: list[Column] = ()) -> DataFrame:
+    """(line_keys, bold, italic, rendered, and aggregates of one's own): ``emphasis_flags`` and ``render_lines`` in one aggregate, for spans that know whether they are bold."""
+    italic, some = F.lower(F.coalesce("font_name", F.lit(""))).contains("ital"), F.trim("text") != ""
+    every = lambda c: F.coalesce(F.bool_and(F.when(some, c)), F.lit(True))
+    escaped, m = F.replace(F.col("text"), F.lit("*"), F.lit("\\*")), _marks(bold, italic)
+    styled = F.when((m == "") | F.contains(F.col("text"), F.lit("*")), escaped).otherwise(F.concat(m, F.trim("text"), m, F.lit(" ")))
+    lines = spans.groupBy(*line_keys).agg(every(bold).alias("bold"), every(italic).alias("italic"), F.collect_list(F.struct("ord", escaped.alias("e"), styled.alias("s"))).alias("__p"), *more)
+    plain = F.col("bold") | F.col("italic")
+    cells = F.array_sort(F.transform("__p", lambda x: F.struct(x["ord"].alias("ord"), F.when(plain, x["e"]).otherwise(x["s"]).alias("p"))))
+    whole, lines = _marks(F.col("bold"), F.col("italic")), lines.withColumn("__t", F.array_join(F.transform(cells, lambda x: x["p"]), ""))
+    out = F.when((F.trim("__t") == "") | (whole == ""), F.col("__t")).otherwise(F.concat(whole, F.trim("__t"), whole, F.lit(" ")))
+    return lines.withColumn("rendered", out).drop("__p", "__t")
 
 
 def render_lines(spans: DataFrame, line_flags: DataFrame, line_keys: list[str], mode_col: str = "mode") -> DataFrame:
     """(line_keys, rendered): the emphasised text of each line: the whole line's where all of it is bold or slanted, else each span's; asterisks are escaped."""
     bold = F.col("font_weight") > F.greatest(F.col(mode_col), F.lit(DEFAULT_FONT_WEIGHT))
     italic = F.lower(F.coalesce("font_name", F.lit(""))).contains("ital")
-    mark = lambda b, i: F.when(b & i, "***").when(b, "**").when(i, "*").otherwise("")
     escaped = F.replace(F.col("text"), F.lit("*"), F.lit("\\*"))
-    m = mark(bold, italic)
+    m = _marks(bold, italic)
     styled = F.when((m == "") | F.contains(F.col("text"), F.lit("*")), escaped).otherwise(F.concat(m, F.trim("text"), m, F.lit(" ")))
-    both = spans.join(line_flags.withColumnsRenamed({"bold": "line_bold", "italic": "line_italic"}), line_keys)
+    both = spans.join(spread(line_flags.withColumnsRenamed({"bold": "line_bold", "italic": "line_italic"})), line_keys)
     piece = F.when(F.col("line_bold") | F.col("line_italic"), escaped).otherwise(styled)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("ord"), piece.alias("p")))), lambda x: x["p"]), "")
     rows = both.groupBy(*line_keys, "line_bold", "line_italic").agg(joined.alias("__t"))
-    whole = mark(F.col("line_bold"), F.col("line_italic"))
+    whole = _marks(F.col("line_bold"), F.col("line_italic"))
     out = F.when((F.trim("__t") == "") | (whole == ""), F.col("__t")).otherwise(F.concat(whole, F.trim("__t"), whole, F.lit(" ")))
     return rows.select(*line_keys, out.alias("rendered"))
 

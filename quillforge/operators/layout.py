@@ -60,13 +60,17 @@ def render_block(kind: str, spans: list[dict], fold_columns: bool = False, spars
     return text.replace("\n", " ").replace("\r", "").strip() or None
 
 
+def _joint_box() -> list:
+    return [F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2")]
+
+
 def lines_of(spans: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, line, first_ord, last_ord, box): the lines of spans."""
-    return spans.groupBy(*keys, "line").agg(F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+    return spans.groupBy(*keys, "line").agg(F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"), *_joint_box())
 
 
 def _scaled(df: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
-    both = df.join(pages.select(*keys, "width", "height"), keys)
+    both = df.join(G.spread(pages.select(*keys, "width", "height")), keys)
     return both.withColumns(dict(zip(G.BOX, G.scaled(G.box(), F.col("width"), F.col("height")), strict=True))).drop("width", "height")
 
 
@@ -74,11 +78,11 @@ def grouped_leftovers(lines: DataFrame, spans: DataFrame, keys: list[str], least
     """(blocks, line to block): lines that no box takes, those whose spans follow each other in one block of text, numbered on after the page's boxes; the box is that of the spans within the page, and a group without such a span goes."""
     w = Window.partitionBy(*keys).orderBy("first_ord", "line")
     new = F.when(F.col("first_ord") - F.lag("last_ord").over(w) == 1, 0).otherwise(1)
-    run = lines.withColumn("__new", new).withColumn("__run", F.sum("__new").over(w)).join(least_id, keys, "left")
+    run = lines.withColumn("__new", new).withColumn("__run", F.sum("__new").over(w)).join(G.spread(least_id), keys, "left")
     placed = run.select(*keys, "line", (F.coalesce("__last", F.lit(-1)) + F.col("__run")).cast("bigint").alias("block_id"))
-    inside = spans.where(G.is_valid_box(G.box())).join(placed, [*keys, "line"])
+    inside = spans.where(G.is_valid_box(G.box())).join(G.spread(placed), [*keys, "line"])
     blocks = G.union_box(inside, [*keys, "block_id"]).select(*keys, "block_id", F.lit("text").alias("class"), *G.BOX)
-    return blocks, placed.join(blocks.select(*keys, "block_id"), [*keys, "block_id"], "left_semi")
+    return blocks, placed.join(G.spread(blocks.select(*keys, "block_id")), [*keys, "block_id"], "left_semi")
 
 
 def page_blocks(spans: DataFrame, boxes: DataFrame, pages: DataFrame, keys: list[str], fold_columns: bool = False, sparse_text: bool = True, emphasis: bool = True) -> DataFrame:
@@ -88,15 +92,15 @@ def page_blocks(spans: DataFrame, boxes: DataFrame, pages: DataFrame, keys: list
     shares = _scaled(spans, pages, keys)
     lines = _scaled(lines_of(spans, keys), pages, keys)
     taken = G.assign_lines(lines, own, keys, "line")
-    rest = lines.join(taken.select(*keys, "line"), [*keys, "line"], "left_anti")
+    rest = lines.join(G.spread(taken.select(*keys, "line")), [*keys, "line"], "left_anti")
     extra, more = grouped_leftovers(rest, shares, keys, own.groupBy(*keys).agg(F.max("block_id").alias("__last")))
     of = taken.select(*keys, "line", "block_id").unionByName(more.select(*keys, "line", "block_id"))
     weights = G.mode_of(spans, keys, F.when(F.col("font_weight") > 0, F.col("font_weight")), G.DEFAULT_FONT_WEIGHT)
     bold = F.col("font_weight") > F.greatest("mode", F.lit(G.DEFAULT_FONT_WEIGHT))
     cell = F.struct("first_ord", "line", "ord", "text", *G.BOX, F.coalesce(bold, F.lit(False)).alias("bold"), F.lower(F.coalesce("font_name", F.lit(""))).contains("ital").alias("italic"))
-    lined = spans.join(lines.select(*keys, "line", "first_ord"), [*keys, "line"]).join(weights, keys).join(of, [*keys, "line"])
+    lined = spans.join(G.spread(lines.select(*keys, "line", "first_ord")), [*keys, "line"]).join(G.spread(weights), keys).join(G.spread(of), [*keys, "line"])
     held = lined.groupBy(*keys, "block_id").agg(F.array_sort(F.collect_list(cell)).alias("spans"), F.max("ord").alias("last"))
-    blocks = own.withColumn("own", F.lit(0)).unionByName(extra.withColumn("own", F.lit(1))).join(held, [*keys, "block_id"], "left")
+    blocks = own.withColumn("own", F.lit(0)).unionByName(extra.withColumn("own", F.lit(1))).join(G.spread(held), [*keys, "block_id"], "left")
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.coalesce("last", F.lit(-1)), "own", F.when(F.col("own") == 0, G._class_rank("class")), "block_id")) - 1
     placed = blocks.withColumn("place", place.cast("bigint"))
     kinds = dict(spans.dtypes)
@@ -113,8 +117,8 @@ def page_blocks(spans: DataFrame, boxes: DataFrame, pages: DataFrame, keys: list
 def full_pages(spans: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, text, x1, y1, x2, y2): each page with a line as one block that keeps its layout, in a fence."""
     lines = lines_of(spans, keys)
-    cells = spans.join(lines.select(*keys, "line", "first_ord", F.col("y2").alias("line_y2")), [*keys, "line"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("first_ord", "ord", "line", "text", *G.BOX, "line_y2"))).alias("spans"))
-    both = _scaled(G.union_box(lines, keys), pages, keys).join(cells, keys)
+    cells = spans.join(G.spread(lines.select(*keys, "line", "first_ord", F.col("y2").alias("line_y2"))), [*keys, "line"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("first_ord", "ord", "line", "text", *G.BOX, "line_y2"))).alias("spans"))
+    both = _scaled(G.union_box(lines, keys), pages, keys).join(G.spread(cells), keys)
     kinds = dict(spans.dtypes)
     schema = f"{keys[0]} {kinds[keys[0]]}, {keys[1]} {kinds[keys[1]]}, text string, x1 double, y1 double, x2 double, y2 double"
     return flat_map(both, lambda r: [{**{k: r[k] for k in (*keys, *G.BOX)}, "text": f"```page\n{G.grid_text(r['spans'])}\n```"}], schema)
@@ -122,33 +126,30 @@ def full_pages(spans: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame
 
 def heuristic_blocks(spans: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, block_id, ctype, text, x1, y1, x2, y2): blocks that the spans name (block_id), their lines as markdown; bold, short ones of no smaller type than usual are headers. All in Spark."""
-    doc = keys[0]
-    first = G.first_pages(spans, doc, keys[1])
-    weights = G.mode_of(first, [doc], F.when(F.col("font_weight") > 0, F.col("font_weight")), G.DEFAULT_FONT_WEIGHT)
     size = G.font_size(F.col("font_size"), F.col("font_name"), G.box(), F.col("rotation"), F.col("text"))
-    sizes = G.mode_of(first, [doc], size, G.DEFAULT_FONT_SIZE)
-    line_keys = [*keys, "block_id", "line"]
-    flags = G.emphasis_flags(spans, weights, [doc], line_keys)
-    rendered = G.render_lines(spans.join(weights, doc), flags, line_keys)
-    firsts = spans.groupBy(*line_keys).agg(F.min("ord").alias("first_ord"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_ord", F.concat("rendered", F.lit("\n")).alias("t")))), lambda x: x["t"]), "")
+    weight = F.when(F.col("font_weight") > 0, F.col("font_weight"))
+    used = spans.select(*keys, "block_id", "line", "ord", "text", *G.BOX, "font_weight", "font_name", size.alias("size")).where("block_id IS NOT NULL")
+    both = G.with_usual(used, *keys, {"weight": (weight, G.DEFAULT_FONT_WEIGHT), "mode": (F.col("size"), G.DEFAULT_FONT_SIZE)})
+    bold = F.col("font_weight") > F.greatest("weight", F.lit(G.DEFAULT_FONT_WEIGHT))
+    lines = G.marked_lines(both, bold, [*keys, "block_id", "line", "mode"], [F.min("ord").alias("first_ord"), F.max(F.bround("size")).alias("font_size"), *_joint_box()])
+    named = F.col("line").isNotNull()
+    cell = F.when(named, F.struct("first_ord", F.concat("rendered", F.lit("\n")).alias("t")))
+    blocks = lines.groupBy(*keys, "block_id", "mode").agg(F.array_sort(F.collect_list(cell)).alias("__t"), F.bool_and(F.when(named, F.col("bold"))).alias("all_bold"), F.max("font_size").alias("font_size"), *_joint_box())
+    joined = F.array_join(F.transform("__t", lambda x: x["t"]), "")
     text = F.trim(F.replace(F.replace(joined, F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit("")))
-    texts = rendered.join(firsts, line_keys).join(flags, line_keys).groupBy(*keys, "block_id").agg(text.alias("text"), F.bool_and("bold").alias("all_bold"))
-    boxes = spans.groupBy(*keys, "block_id").agg(F.max(F.bround(size)).alias("font_size"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
-    both = _scaled(texts.join(boxes, [*keys, "block_id"]), pages, keys).join(sizes, doc)
-    return G.headings(both).select(*keys, "block_id", F.when(F.col("is_heading"), "header").otherwise("para").alias("ctype"), "text", *G.BOX)
+    found = G.headings(_scaled(blocks.where(F.size("__t") > 0).withColumn("text", text), pages, keys))
+    return found.select(*keys, "block_id", F.when(F.col("is_heading"), "header").otherwise("para").alias("ctype"), "text", *G.BOX)
 
 
 def block_nodes(blocks: DataFrame, keys: list[str], order: str = "place", mimetype: str = "application/pdf") -> DataFrame:
-    """Node rows (doc_id, chunk_id, parent_id, ord, path, ctype, mimetype, content, text, metadata): a root for each document and its blocks by page and place."""
+    """Node rows (doc_id, chunk_id, parent_id, ord, path, ctype, mimetype, content, text, metadata): a root for each document and its blocks by page and place. A document's first block brings its root."""
     doc, page = keys
     name = F.col(doc).cast("string")
     w = Window.partitionBy(doc).orderBy(page, order)
     k = (F.row_number().over(w) - 1).cast("int")
     meta = F.to_json(F.struct(F.struct(*G.BOX).alias("box"), (F.col(page) + 1).alias("page")))
-    leaves = blocks.withColumn("__k", k).select(
-        F.col(doc).alias("doc_id"), F.concat(name, F.lit("/"), F.col("__k")).alias("chunk_id"), name.alias("parent_id"), F.col("__k").alias("ord"), F.array(F.lit(0), F.col("__k")).alias("path"), "ctype", F.lit("text/plain").alias("mimetype"), F.col("text").alias("content"), F.lit(None).cast("string").alias("text"), meta.alias("metadata")
-    )
     none = F.lit(None).cast("string")
-    roots = blocks.select(F.col(doc).alias("doc_id")).distinct().select("doc_id", F.col("doc_id").cast("string").alias("chunk_id"), none.alias("parent_id"), F.lit(0).alias("ord"), F.array(F.lit(0)).alias("path"), F.lit("root").alias("ctype"), F.lit(mimetype).alias("mimetype"), none.alias("content"), none.alias("text"), none.alias("metadata"))
-    return roots.unionByName(leaves)
+    leaf = F.struct(F.concat("__name", F.lit("/"), F.col("__k")).alias("chunk_id"), F.col("__name").alias("parent_id"), F.col("__k").alias("ord"), F.array(F.lit(0), F.col("__k")).alias("path"), F.col("ctype").alias("ctype"), F.lit("text/plain").alias("mimetype"), F.col("text").alias("content"), none.alias("text"), meta.alias("metadata"))
+    root = F.struct(F.col("__name").alias("chunk_id"), none.alias("parent_id"), F.lit(0).alias("ord"), F.array(F.lit(0)).alias("path"), F.lit("root").alias("ctype"), F.lit(mimetype).alias("mimetype"), none.alias("content"), none.alias("text"), none.alias("metadata"))
+    placed = blocks.withColumn("__k", k).withColumn("__name", name)
+    return placed.select(F.col(doc).alias("doc_id"), F.inline(F.when(F.col("__k") == 0, F.array(root, leaf)).otherwise(F.array(leaf))))

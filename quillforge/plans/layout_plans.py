@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import geometry as G
 from ..operators import layout
 from ..sources.media import node_type
-from .tables import table
+from .tables import by_key, table
 
 _ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus"
 #: A line of a page for each lineitem; an expression each that reads alike in Spark and DuckDB.
@@ -36,11 +36,17 @@ KEYS = ["doc_id", "page"]
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").selectExpr(*[f"{x} AS {c}" for c, x in SPAN.items()]).withColumn("ord", F.col("ord").cast("bigint"))
+    """Lines go to the tasks of their orders once, as they are, and are numbered and made spans there: what follows by order, or by order and page, needs no other shuffle."""
+    own = by_key(table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "doc_id"), "doc_id")
+    numbered = own.withColumn("ord", F.expr(SPAN["ord"].replace("l_orderkey", "doc_id")).cast("bigint"))
+    return numbered.selectExpr(*[c if c in ("doc_id", "ord") else f"{x} AS {c}" for c, x in SPAN.items()])
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_BLOCKS_OF - 1).cast("bigint")))).selectExpr(*[f"{x} AS {c}" for c, x in BLOCK.items()])
+    """Orders go to the tasks of their lines before they are made many boxes."""
+    own = by_key(table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "doc_id"), "doc_id", table(spark, sf_dir, "lineitem"))
+    every = own.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_BLOCKS_OF - 1).cast("bigint"))))
+    return every.selectExpr(*[c if c == "doc_id" else f"{x} AS {c}" for c, x in BLOCK.items()])
 
 
 def bbox_scale(spark, sf_dir):
@@ -140,7 +146,7 @@ _FLAGS = f"flags AS (SELECT doc_id, page, coalesce(bool_and(CASE WHEN trim(text)
 def rendered_lines(spark, sf_dir):
     s = spans(spark, sf_dir)
     modes = G.mode_of(G.first_pages(s), ["doc_id"], F.col("font_weight"), G.DEFAULT_FONT_WEIGHT)
-    return G.render_lines(s.join(modes, "doc_id"), G.emphasis_flags(s, modes, ["doc_id"], KEYS), KEYS)
+    return G.render_lines(s.join(G.spread(modes), "doc_id"), G.emphasis_flags(s, modes, ["doc_id"], KEYS), KEYS)
 
 
 _MARK = "CASE WHEN {0} AND {1} THEN '***' WHEN {0} THEN '**' WHEN {1} THEN '*' ELSE '' END"
@@ -153,12 +159,10 @@ def heading_detect(spark, sf_dir):
     """Pages as blocks: bold ones of no smaller type than usual are headings."""
     s = spans(spark, sf_dir)
     size = G.font_size(F.col("font_size"), F.col("font_name"), G.box(), F.col("rotation"), F.col("text"))
-    first = G.first_pages(s)
+    s = G.with_usual(s.select(*KEYS, "ord", "text", "font_weight", "font_name", size.alias("size")), *KEYS, {"weight": (F.col("font_weight"), G.DEFAULT_FONT_WEIGHT), "mode": (F.col("size"), G.DEFAULT_FONT_SIZE)})
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ")
-    b = s.groupBy(*KEYS).agg(text.alias("text"), F.max(size).alias("font_size"))
-    weights = G.mode_of(first, ["doc_id"], F.col("font_weight"), G.DEFAULT_FONT_WEIGHT)
-    b = b.join(G.emphasis_flags(s, weights, ["doc_id"], KEYS).select(*KEYS, F.col("bold").alias("all_bold")), KEYS).join(G.mode_of(first, ["doc_id"], size, G.DEFAULT_FONT_SIZE), "doc_id")
-    return G.headings(b).select(*KEYS, "is_heading")
+    bold = F.coalesce(F.bool_and(F.when(F.trim("text") != "", F.col("font_weight") > F.greatest("weight", F.lit(G.DEFAULT_FONT_WEIGHT)))), F.lit(True))
+    return G.headings(s.groupBy(*KEYS, "mode").agg(text.alias("text"), F.max("size").alias("font_size"), bold.alias("all_bold"))).select(*KEYS, "is_heading")
 
 
 _HEADING = f"b AS (SELECT doc_id, page, string_agg(text, ' ' ORDER BY ord) AS t, max({_SIZE}) AS size FROM spans GROUP BY doc_id, page) SELECT b.doc_id, b.page, bold AND length(trim(t)) < 200 AND trim(t) <> '' AND round_even(size, 0) >= mode AS is_heading FROM b JOIN flags USING (doc_id, page) JOIN {_MODE.format(_SIZE)} USING (doc_id)"
@@ -222,7 +226,7 @@ def _page_sizes(spark, sf_dir):
 def page_blocks(spark, sf_dir):
     """Blocks of each page in reading order; the text is left out where it keeps its layout."""
     s = _page_spans(spark, sf_dir)
-    own = blocks(spark, sf_dir).withColumn("page", F.col("page") % 2).join(s.select(*KEYS).distinct(), KEYS, "left_semi")
+    own = blocks(spark, sf_dir).withColumn("page", F.col("page") % 2).join(G.spread(s.select(*KEYS).distinct()), KEYS, "left_semi")
     got = layout.page_blocks(s, own, _page_sizes(spark, sf_dir), KEYS)
     return got.withColumn("text", F.when(F.col("ctype").isin("header", "para"), F.col("text")))
 

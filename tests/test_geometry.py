@@ -129,3 +129,39 @@ def test_sparse_text_keeps_its_layout():
     rows = [{"text": f"w{k}", "line": k, "x1": 0.0 if k % 2 else 0.8, "y1": 0.1 * k, "x2": 0.1 if k % 2 else 0.9, "y2": 0.1 * k + 0.05, "bold": False, "italic": False} for k in range(8)]
     assert layout.render_block("text", rows).startswith("```text\n") and layout.render_block("text", rows, sparse_text=False) == "w0w1w2w3w4w5w6w7"
     assert layout.render_block("text", []) is None and layout.render_block("figure", []) == "" and layout.render_block("text", [{**rows[0], "text": " "}]) is None
+
+
+def test_boxes_are_never_broadcast(spark, sf):
+    """Boxes are many times the files that Spark guesses their size from."""
+    from quillforge.plans.catalogue import QUERIES
+
+    for name in ("bbox_overlap_ratio", "best_iou_box", "ocr_required", "line_to_block", "leftover_lines", "lines_outside", "text_table_merge", "reading_order", "page_blocks"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan, name
+
+
+def test_spans_are_shuffled_by_document_only(spark, sf):
+    import __spark_entry__
+
+    for name in ("heading_detect", "heuristic_blocks", "page_nodes", "text_table_merge", "span_islands", "layout_text_2d", "ocr_required", "page_blocks"):
+        plan = __spark_entry__.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        keys = [line.split("hashpartitioning(")[1] for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+        assert keys and all(k.startswith("doc_id#") and not k.split(",")[1].strip().startswith("page") for k in keys), (name, keys)
+
+
+def test_usual_values_are_those_of_the_joined_modes(spark):
+    rows = [(1, p, o, w) for p, o, w in [(0, 1, 400.0), (0, 2, 300.0), (1, 3, 400.5), (1, 4, 300.0), (2, 5, None), (9, 6, 900.0), (7, 7, 900.0), (8, 8, 900.0), (6, 9, 900.0)]] + [(2, 0, 1, None), (3, None, 1, 5.0), (4, 3, 1, 2.5), (4, 3, 2, 3.5), (4, 2, 3, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, page bigint, ord bigint, w double")
+    joined = df.where("page IS NOT NULL").join(G.mode_of(G.first_pages(df), ["doc_id"], F.col("w"), 7), "doc_id")
+    got = G.with_usual(df, "doc_id", "page", {"mode": (F.col("w"), 7)})
+    assert got.columns == joined.columns and sorted(got.collect(), key=str) == sorted(joined.collect(), key=str)
+    assert {r.doc_id: r["mode"] for r in got.collect()} == {1: 300, 2: 7, 4: 2}
+
+
+def test_tasks_grow_with_the_files(spark, sf, monkeypatch):
+    from quillforge.plans import layout_plans, tables
+
+    monkeypatch.setattr(tables, "TASK_BYTES", 4000)
+    s, b = layout_plans.spans(spark, sf), layout_plans.blocks(spark, sf)
+    numbers = {df._jdf.queryExecution().toRdd().getNumPartitions() for df in (s, b)}
+    assert len(numbers) == 1 and numbers.pop() > 4
