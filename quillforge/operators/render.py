@@ -10,15 +10,17 @@ import textwrap
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.splitting import default_separators, length_function, split_repacked
-from .arrow import per_group
+from .arrow import arrow_schema, per_group
 
 BLANK_LINE = "\n\n"
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     id: str
     ctype: str = "para"
@@ -158,29 +160,36 @@ def flatten(node: Node, size: int = -1, length: Callable[[str], int] | str | Non
     if node.text and count(node.text) < most:
         return [(node.text, ids(node))]
     out: list[tuple[str, list[str]]] = []
-    text, held = "", [node.id]
+    held = [node.id]
 
     def cut(whole: str, owners: list[str]) -> str:
         """All but the last piece of a text that is too long go out."""
-        if count(whole) <= most:
+        if most == float("inf") or count(whole) <= most:
             return whole
         pieces = split_repacked(whole, separators or default_separators(whole, newlines_first=True), size, None, False, count) or [""]
         out.extend((p, list(owners)) for p in pieces[:-1])
         return pieces[-1]
 
+    def whole() -> str:
+        buffer[:] = ["".join(buffer)]
+        return buffer[0]
+
     def close() -> None:
-        if text.strip("\n"):
-            out.append((text.strip("\n"), held))
+        if text := whole().strip("\n"):
+            out.append((text, held))
 
-    text = cut(_heading(node, level, node.own), held)
+    # the open piece, as parts that are joined only when its length counts, and never without a bound
+    buffer = [cut(_heading(node, level, node.own), held)]
     for c in node.children:
         if c.children:
             for part, owners in flatten(c, size, length, separators, level):
-                if count(text) + count(BLANK_LINE) + count(part) <= most:
-                    text, held = (text + BLANK_LINE + part).strip("\n"), held + owners
+                if most == float("inf") or count(whole()) + count(BLANK_LINE) + count(part) <= most:
+                    buffer += [BLANK_LINE, part]
+                    _strip_lines(buffer)
+                    held += owners
                 else:
                     close()
-                    text, held = part, owners
+                    buffer, held = [part], owners
             continue
         part = textwrap.dedent(render_markdown(c, level).rstrip().lstrip("\n"))
         if not part:
@@ -188,23 +197,74 @@ def flatten(node: Node, size: int = -1, length: Callable[[str], int] | str | Non
         gap = {"inline": " ", "list": "\n"}.get(c.ctype, BLANK_LINE)
         if c.ctype == "list":
             part = textwrap.indent(part, " ")
-        if count(part + gap + text) <= most:
-            text, held = text + gap + part, held + ids(c)
+        if most == float("inf") or count(part + gap + whole()) <= most:
+            buffer += [gap, part]
+            held += ids(c)
         else:
             close()
             held = ids(c)
-            text = cut(part, held)
+            buffer = [cut(part, held)]
     close()
     return out
 
 
+def _strip_lines(parts: list[str]) -> None:
+    """The outer line ends of parts that follow each other go."""
+    for at, strip in ((0, str.lstrip), (-1, str.rstrip)):
+        while parts:
+            parts[at] = strip(parts[at], "\n")
+            if parts[at]:
+                break
+            del parts[at]
+
+
+def _light(ids: list, parents: list, ctypes: list, contents: list, texts: list) -> list[Node]:
+    """``build`` from columns in order, for what only reads a tree: leaves share their empty children and metadata."""
+    no_children, no_metadata = [], {}
+    nodes = {i: Node(i, c, own, text, "text/plain", None, no_metadata, no_children) for i, c, own, text in zip(ids, ctypes, contents, texts, strict=True)}
+    roots = []
+    for i, p in zip(ids, parents, strict=True):
+        node, parent = nodes[i], nodes.get(p)
+        if parent is None or parent is node:
+            roots.append(node)
+        else:
+            if parent.children is no_children:
+                parent.children = []
+            parent.add(node)
+    return roots
+
+
+def _shared(values: pa.Array) -> list:
+    """The values as a list that holds each of them once."""
+    coded = values.dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    return [None if k is None else words[k] for k in coded.indices.to_pylist()]
+
+
+def _per_tree(nodes: DataFrame, fn: Callable[[object, list[Node]], list[dict]], schema: str) -> DataFrame:
+    """Rows from the roots of each document. Only the columns that are read come to Python, as columns, and one document at a time becomes a tree."""
+    target = arrow_schema(schema)
+    read = [F.col(c) if c in nodes.columns else F.lit(None).cast("string").alias(c) for c in ("parent_id", "ctype", "content", "text")]
+    cell = F.struct(F.isnull("ord").alias("last"), "ord", "chunk_id", *read)
+    docs = nodes.groupBy("doc_id").agg(F.array_sort(F.collect_list(cell)).alias("__rows"))
+
+    def run(batches):
+        for batch in batches:
+            rows, ends = batch.column(1), batch.column(1).offsets.to_pylist()
+            for k, doc in enumerate(batch.column(0).to_pylist()):
+                ids, parents, kinds, contents, texts = [c.slice(ends[k], ends[k + 1] - ends[k]) for c in rows.values.flatten()[2:]]
+                yield pa.RecordBatch.from_pylist(fn(doc, _light(ids.to_pylist(), _shared(parents), _shared(kinds), contents.to_pylist(), texts.to_pylist())), schema=target)
+
+    return docs.mapInArrow(run, schema)
+
+
 def render(nodes: DataFrame, form: str = "plain") -> DataFrame:
     """(doc_id, rendered): every document of a node table as plain text or markdown; several roots are joined by blank lines."""
     fn = {"plain": render_plain, "markdown": render_markdown}.get(form)
     if fn is None:
         raise NotImplementedError(f"no rendering {form!r} of a table; use plain or markdown")
     schema = f"doc_id {dict(nodes.dtypes)['doc_id']}, rendered string"
-    return per_group(nodes, ["doc_id"], lambda rows: [{"doc_id": rows[0]["doc_id"], "rendered": BLANK_LINE.join(fn(r) for r in build(rows))}], schema)
+    return _per_tree(nodes, lambda doc, roots: [{"doc_id": doc, "rendered": BLANK_LINE.join(fn(r) for r in roots)}], schema)
 
 
 def render_parts(nodes: DataFrame, compat: bool = False) -> DataFrame:
@@ -223,12 +283,11 @@ def flatten_to_markdown(nodes: DataFrame, size: int = -1, length: str | None = N
     """(doc_id, pos, content, originals): size-bounded markdown pieces of every document with the ids that they come from."""
     schema = f"doc_id {dict(nodes.dtypes)['doc_id']}, pos bigint, content string, originals array<string>"
 
-    def one(rows: list[dict]):
-        pieces = [p for r in build(rows) for p in flatten(r, size, length, separators)]
-        for k, (text, owners) in enumerate(pieces):
-            yield {"doc_id": rows[0]["doc_id"], "pos": k, "content": text, "originals": owners}
+    def one(doc: object, roots: list[Node]) -> list[dict]:
+        pieces = [p for r in roots for p in flatten(r, size, length, separators)]
+        return [{"doc_id": doc, "pos": k, "content": text, "originals": owners} for k, (text, owners) in enumerate(pieces)]
 
-    return per_group(nodes, ["doc_id"], one, schema)
+    return _per_tree(nodes, one, schema)
 
 
 def clean_tree(nodes: DataFrame) -> DataFrame:

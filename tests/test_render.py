@@ -87,3 +87,26 @@ def test_tables_of_nodes(spark):
     with pytest.raises(NotImplementedError):
         R.render(t, "2d")
     assert [r.content for r in R.clean_tree(t).where("doc_id = 'd'").orderBy("depth").collect()] == ["H", "text"]
+
+
+def test_flatten_without_a_bound_measures_nothing_twice():
+    """The work of a wide tree grows with its nodes: before, each child measured and copied all text before it."""
+    seen = []
+    wide = Node("r", "header", "R").add(*[Node(f"h{k}", "header", f"H{k}").add(Node(f"p{k}", "para", "x y")) for k in range(300)], *[Node(f"c{k}", "para", "word") for k in range(300)])
+    (text, owners), = R.flatten(wide, -1, lambda s: seen.append(len(s)) or len(s))
+    assert sum(seen) <= 2 * len(text) and owners == [n.id for _, n in wide.walk()]
+    assert text == R.render_markdown(wide)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tables_give_what_their_trees_give(spark, seed):
+    rng = random.Random(seed)
+    rows, trees = [], {}
+    for d in ("a", "b"):
+        trees[d] = random_tree(rng)
+        rows += [(d, n.id, n.parent.id if n.parent else None, n.parent.children.index(n) if n.parent else 0, n.ctype, n.content) for _, n in trees[d].walk()]
+    rng.shuffle(rows)
+    t = spark.createDataFrame(rows, "doc_id string, chunk_id string, parent_id string, ord int, ctype string, content string")
+    assert {r.doc_id: r.rendered for r in R.render(t, "markdown").collect()} == {d: R.render_markdown(n) for d, n in trees.items()}
+    got = R.flatten_to_markdown(t, 20).orderBy("doc_id", "pos").collect()
+    assert [(r.content, r.originals) for r in got] == [p for d in ("a", "b") for p in R.flatten(trees[d], 20)]
