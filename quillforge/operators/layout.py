@@ -6,14 +6,19 @@ keys are the document and the page, in this order. A page is what one task holds
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import geometry as G
-from .arrow import flat_map
+from .arrow import arrow_schema, flat_map
 
 PICTURES = ("figure", "table", "equation")
 MIN_LINES_2D = 5
+PAGES_AT_ONCE = 2000
 #: Classes of boxes to node types.
 NODE_TYPE = {"title": "header", "caption": "para", "figure": "figure", "table": "table", "equation": "formula", "text": "para"}
 
@@ -74,44 +79,132 @@ def _scaled(df: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
     return both.withColumns(dict(zip(G.BOX, G.scaled(G.box(), F.col("width"), F.col("height")), strict=True))).drop("width", "height")
 
 
-def grouped_leftovers(lines: DataFrame, spans: DataFrame, keys: list[str], least_id: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(blocks, line to block): lines that no box takes, those whose spans follow each other in one block of text, numbered on after the page's boxes; the box is that of the spans within the page, and a group without such a span goes."""
-    w = Window.partitionBy(*keys).orderBy("first_ord", "line")
-    new = F.when(F.col("first_ord") - F.lag("last_ord").over(w) == 1, 0).otherwise(1)
-    run = lines.withColumn("__new", new).withColumn("__run", F.sum("__new").over(w)).join(G.spread(least_id), keys, "left")
-    placed = run.select(*keys, "line", (F.coalesce("__last", F.lit(-1)) + F.col("__run")).cast("bigint").alias("block_id"))
-    inside = spans.where(G.is_valid_box(G.box())).join(G.spread(placed), [*keys, "line"])
-    blocks = G.union_box(inside, [*keys, "block_id"]).select(*keys, "block_id", F.lit("text").alias("class"), *G.BOX)
-    return blocks, placed.join(G.spread(blocks.select(*keys, "block_id")), [*keys, "block_id"], "left_semi")
+def _first_to_last(values: list[tuple]) -> list[tuple]:
+    """Sorted as Spark sorts: NULL before all else, element by element."""
+    return sorted(values, key=lambda v: [(x is not None, x) for x in v])
 
 
-def page_blocks(spans: DataFrame, boxes: DataFrame, pages: DataFrame, keys: list[str], fold_columns: bool = False, sparse_text: bool = True, emphasis: bool = True) -> DataFrame:
-    """(keys, place, block_id, class, ctype, text, n_lines, x1, y1, x2, y2): the blocks of each page in reading order. Lines go to the boxes that cover them, the rest forms blocks of text; a block's place is that of its last span."""
-    doc, spans = keys[0], spans.select(*keys, "line", "ord", "text", *G.BOX, "font_weight", "font_name")
-    own = boxes.where(F.col("class").isin(*G.CLASS_ORDER)).select(*keys, F.col("block_id").cast("bigint").alias("block_id"), "class", *G.BOX)
-    shares = _scaled(spans, pages, keys)
-    lines = _scaled(lines_of(spans, keys), pages, keys)
-    taken = G.assign_lines(lines, own, keys, "line")
-    rest = lines.join(G.spread(taken.select(*keys, "line")), [*keys, "line"], "left_anti")
-    extra, more = grouped_leftovers(rest, shares, keys, own.groupBy(*keys).agg(F.max("block_id").alias("__last")))
-    of = taken.select(*keys, "line", "block_id").unionByName(more.select(*keys, "line", "block_id"))
-    weights = G.mode_of(spans, keys, F.when(F.col("font_weight") > 0, F.col("font_weight")), G.DEFAULT_FONT_WEIGHT)
-    bold = F.col("font_weight") > F.greatest("mode", F.lit(G.DEFAULT_FONT_WEIGHT))
-    cell = F.struct("first_ord", "line", "ord", "text", *G.BOX, F.coalesce(bold, F.lit(False)).alias("bold"), F.lower(F.coalesce("font_name", F.lit(""))).contains("ital").alias("italic"))
-    lined = spans.join(G.spread(lines.select(*keys, "line", "first_ord")), [*keys, "line"]).join(G.spread(weights), keys).join(G.spread(of), [*keys, "line"])
-    held = lined.groupBy(*keys, "block_id").agg(F.array_sort(F.collect_list(cell)).alias("spans"), F.max("ord").alias("last"))
-    blocks = own.withColumn("own", F.lit(0)).unionByName(extra.withColumn("own", F.lit(1))).join(G.spread(held), [*keys, "block_id"], "left")
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.coalesce("last", F.lit(-1)), "own", F.when(F.col("own") == 0, G._class_rank("class")), "block_id")) - 1
-    placed = blocks.withColumn("place", place.cast("bigint"))
-    kinds = dict(spans.dtypes)
+def _share(v: float | None, whole: float | None) -> float | None:
+    return None if v is None or whole is None else v / whole
+
+
+def _joint(boxes: list[tuple]) -> tuple:
+    """The least box around boxes; what they don't have counts nothing."""
+    ends = [[v for v in side if v is not None] for side in zip(*boxes, strict=True)]
+    return tuple(f(e) if e else None for f, e in zip((min, min, max, max), ends, strict=True))
+
+
+def _valid(b: tuple) -> bool:
+    return None not in b and b[0] < b[2] and b[1] < b[3] and b[0] >= 0 and b[1] >= 0 and b[2] <= 1 and b[3] <= 1
+
+
+def _taker(line: tuple, boxes: list[tuple], least: float) -> tuple | None:
+    """The box (block_id, class, x1, y1, x2, y2) that takes a line in the page: ``geometry.assign_lines`` for one."""
+    size, best = (line[2] - line[0]) * (line[3] - line[1]), None
+    if not size > 0:
+        return None
+    for b in boxes:
+        if None in b[2:]:
+            continue
+        w, h = min(line[2], b[4]) - max(line[0], b[2]), min(line[3], b[5]) - max(line[1], b[3])
+        if w > 0 and h > 0 and w * h / size > least:
+            rank = (_RANK[b[1]], b[0] is not None, b[0])
+            if best is None or rank < best[0]:
+                best = rank, b
+    return best and best[1]
+
 
-    def one(r: dict):
-        text = render_block(r["class"], r["spans"] or [], fold_columns, sparse_text, emphasis)
-        if text is not None:
-            yield {**{k: r[k] for k in (*keys, "place", "block_id", "class", *G.BOX)}, "ctype": NODE_TYPE[r["class"]], "text": text, "n_lines": len({s["line"] for s in r["spans"] or []})}
+_RANK = {c: k for k, c in enumerate(G.CLASS_ORDER)}
 
-    schema = f"{doc} {kinds[doc]}, {keys[1]} {kinds[keys[1]]}, place bigint, block_id bigint, class string, ctype string, text string, n_lines bigint, x1 double, y1 double, x2 double, y2 double"
-    return flat_map(placed.select(*keys, "place", "block_id", "class", *[F.col(c).cast("double").alias(c) for c in G.BOX], "spans"), one, schema)
+
+def _usual_weight(weights: list) -> int:
+    n = Counter(round(w) for w in weights if w is not None and w > 0)
+    return min(n, key=lambda v: (-n[v], v)) if n else G.DEFAULT_FONT_WEIGHT
+
+
+def blocks_of_page(spans: list[tuple], boxes: list[tuple], width: float | None, height: float | None, least: float = 0.3) -> list[tuple]:
+    """(block_id, class, box, spans) in reading order. spans: (line, ord, text, x1, y1, x2, y2, font_weight, is_italic) in the page's unit, boxes: (block_id, class, x1, y1, x2, y2) in shares of it. Lines that no box takes, those
+    whose spans follow each other in one block of text, are numbered on after the page's boxes; the box is that of the spans within the page, and a group without such a span goes. A line without a number belongs nowhere."""
+    by_line: dict = {}
+    for s in spans:
+        by_line.setdefault(s[0], []).append(s)
+    scale = (width, height, width, height)
+    owner, loose = {}, []
+    for line, of in by_line.items():
+        ords = [s[1] for s in of if s[1] is not None]
+        first, last = (min(ords), max(ords)) if ords else (None, None)
+        joint = tuple(map(_share, _joint([s[3:7] for s in of]), scale))
+        taker = _taker(joint, boxes, least) if _valid(joint) else None
+        if taker is not None and line is not None:
+            owner[line] = first, taker[0]
+        else:
+            loose.append((first, line, last))
+    number = max((b[0] for b in boxes if b[0] is not None), default=-1)
+    extra, before = {}, None
+    for first, line, last in _first_to_last(loose) if len(loose) > 1 else loose:
+        number += not (first is not None and before is not None and first - before == 1)
+        before = last
+        if line is not None:
+            inside = [b for b in (tuple(map(_share, s[3:7], scale)) for s in by_line[line]) if _valid(b)]
+            lines, found = extra.setdefault(number, ([], []))
+            lines.append((first, line))
+            found += inside
+    for k, (lines, inside) in extra.items():
+        if inside:
+            owner.update((line, (first, k)) for first, line in lines)
+    heavy = max(_usual_weight([s[7] for s in spans]), G.DEFAULT_FONT_WEIGHT)
+    held: dict = {}
+    for line, (first, k) in owner.items():
+        held.setdefault(k, []).extend((first, *s) for s in by_line[line])
+    every = [(*b[:2], b[2:], 0) for b in boxes] + [(k, "text", _joint(inside), 1) for k, (_, inside) in extra.items() if inside]
+    out = []
+    for k, kind, box, own in every:
+        of = held.get(k, []) if k is not None else []
+        of = _first_to_last(of) if len(of) > 1 else of
+        cells = [{"line": s[1], "text": s[3], "x1": s[4], "y1": s[5], "x2": s[6], "y2": s[7], "bold": s[8] is not None and s[8] > heavy, "italic": s[9]} for s in of]
+        last = max((s[2] for s in of if s[2] is not None), default=-1)
+        out.append(((last, own, 0 if own else _RANK[kind], k is not None, k), (k, kind, box, cells)))
+    return [b for _, b in sorted(out, key=lambda x: x[0])]
+
+
+def page_blocks(spans: DataFrame, boxes: DataFrame, pages: DataFrame, keys: list[str], fold_columns: bool = False, sparse_text: bool = True, emphasis: bool = True) -> DataFrame:
+    """(keys, place, block_id, class, ctype, text, n_lines, x1, y1, x2, y2): the blocks of each page in reading order. Lines go to the boxes that cover them, the rest forms blocks of text; a block's place is that of its last span.
+    Spans and boxes are gathered by page, each once, and a page's are looked at together."""
+    kinds = dict(spans.dtypes)
+    schema = f"{keys[0]} {kinds[keys[0]]}, {keys[1]} {kinds[keys[1]]}, place bigint, block_id bigint, class string, ctype string, text string, n_lines bigint, x1 double, y1 double, x2 double, y2 double"
+    target = arrow_schema(schema)
+    box = [F.col(c).cast("double").alias(c) for c in G.BOX]
+    cell = F.struct("line", "ord", "text", *box, "font_weight", F.contains(F.lower(F.coalesce("font_name", F.lit(""))), F.lit("ital")).alias("italic"))
+    held = spans.where(F.col(keys[0]).isNotNull() & F.col(keys[1]).isNotNull()).groupBy(*keys).agg(F.collect_list(cell).alias("__s"))
+    held = held.join(G.spread(pages.select(*keys, F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"))), keys)
+    own = boxes.where(F.col("class").isin(*G.CLASS_ORDER)).groupBy(*keys).agg(F.collect_list(F.struct(F.col("block_id").cast("bigint").alias("block_id"), "class", *box)).alias("__b"))
+    both = held.join(G.spread(own), keys, "full").select(*keys, "width", "height", "__s", "__b")
+
+    def rows_of(column: pa.Array) -> Callable[[int], list[tuple]]:
+        ends, none = column.offsets.to_pylist(), column.is_null().to_pylist()
+        at = ends[0]
+        rows = list(zip(*[c.to_pylist() for c in column.values.slice(at, ends[-1] - at).flatten()], strict=True))
+        return lambda k: [] if none[k] else rows[ends[k] - at : ends[k + 1] - at]
+
+    def some(batch: pa.RecordBatch) -> pa.RecordBatch:
+        wide, high, spans_of, boxes_of = batch.column(2).to_pylist(), batch.column(3).to_pylist(), rows_of(batch.column(4)), rows_of(batch.column(5))
+        at, out = [], []
+        for k in range(batch.num_rows):
+            for place, (block, kind, b, cells) in enumerate(blocks_of_page(spans_of(k), boxes_of(k), wide[k], high[k])):
+                text = render_block(kind, cells, fold_columns, sparse_text, emphasis)
+                if text is not None:
+                    at.append(k)
+                    out.append((place, block, kind, NODE_TYPE[kind], text, len({s["line"] for s in cells}), *b))
+        columns = list(zip(*out, strict=True)) or [()] * 10
+        where = pa.array(at, pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), *[pa.array(c, f.type) for c, f in zip(columns, list(target)[2:], strict=True)]], schema=target)
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, PAGES_AT_ONCE):
+                yield some(batch.slice(lo, PAGES_AT_ONCE))
+
+    return both.mapInArrow(run, schema)
 
 
 def full_pages(spans: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:

@@ -165,3 +165,22 @@ def test_tasks_grow_with_the_files(spark, sf, monkeypatch):
     s, b = layout_plans.spans(spark, sf), layout_plans.blocks(spark, sf)
     numbers = {df._jdf.queryExecution().toRdd().getNumPartitions() for df in (s, b)}
     assert len(numbers) == 1 and numbers.pop() > 4
+
+
+def test_odd_lines_and_boxes_of_a_page():
+    """Lines without a number belong nowhere but count in the runs; copies of a box's number share its lines; spans out of the page don't widen a block."""
+    s = lambda line, o, x, y, w=300: (line, o, f"t{o}", x, y, x + 10, y + 4, w, False)
+    spans = [s(0, 0, 10, 10), s(None, 1, 50, 10), s(2, 2, 50, 20), s(3, 3, 50, 30), s(5, 9, 95, 80), s(6, 12, 10, 60)]
+    boxes = [(7, "text", 0.0, 0.0, 0.3, 0.3), (7, "title", 0.0, 0.0, 0.3, 0.3), (None, "figure", 0.0, 0.5, 0.3, 0.8)]
+    got = layout.blocks_of_page(spans, boxes, 100.0, 100.0)
+    assert [(k, kind, [c["text"] for c in cells]) for k, kind, _, cells in got] == [(None, "figure", []), (7, "title", ["t0"]), (7, "text", ["t0"]), (8, "text", ["t2", "t3"])]
+    assert got[3][2] == (0.5, 0.2, 0.6, 0.34) and layout.blocks_of_page([], [], None, None) == []
+    assert layout.blocks_of_page(spans, [], None, None) == []
+
+
+def test_spans_are_read_once_by_page_blocks(spark, sf):
+    """Lines and boxes are each gathered once, not joined step by step."""
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["page_blocks"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") <= 3 and plan.count("FileScan") <= 4
